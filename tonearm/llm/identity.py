@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tonearm.operators.components import both_ways, propagate
 from tonearm.session import cut
 
 #: Frontier rounds before the search is given up and what it reached is contracted
@@ -51,19 +52,15 @@ def pair_edges(pairs: DataFrame, ids: DataFrame, left: str, right: str) -> DataF
     return edges.join(known, edges.dst == known.id, "left_semi")
 
 
-def _both_ways(edges: DataFrame) -> DataFrame:
-    return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-
-
 def _peel(edges: DataFrame, rounds: int) -> tuple[DataFrame | None, DataFrame]:
     """(members of the peeled component as (id, group_id), the edges left)."""
     # One row reaches the driver: the vertex where the search starts.
     start = (
-        _both_ways(edges).groupBy("src").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "src").limit(1).collect()
+        both_ways(edges).groupBy("src").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "src").limit(1).collect()
     )
     if not start:
         return None, edges
-    links = cut(_both_ways(edges).distinct())
+    links = cut(both_ways(edges).distinct())
     frontier = seen = edges.sparkSession.range(start[0]["src"], start[0]["src"] + 1).toDF("v")
     ended = False
     for _ in range(rounds):
@@ -89,38 +86,13 @@ def _peel(edges: DataFrame, rounds: int) -> tuple[DataFrame | None, DataFrame]:
     return None, rest.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
 
 
-def _propagate(edges: DataFrame) -> DataFrame:
-    """(id, group_id) of every vertex that is not the least of its component."""
-    stars, mark = edges, None
-    while True:
-        around = _both_ways(stars)
-        low = around.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("low"))
-        large = (
-            around.where("dst > src").join(low, "src").select(F.col("low").alias("src"), "dst").where("src <> dst").distinct()
-        )
-        # Here every edge runs from the smaller to the larger vertex.
-        low = large.groupBy("dst").agg(F.min("src").alias("low"))
-        small = large.join(low, "dst")
-        small = (
-            small.select(F.col("low").alias("src"), "dst")
-            .unionByName(small.where("src <> low").select(F.col("low").alias("src"), F.col("src").alias("dst")))
-            .where("src <> dst")
-            .distinct()
-        )
-        stars = cut(small)
-        now = stars.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("src", "dst"))).first()
-        if tuple(now) == mark:
-            return stars.select(F.col("dst").alias("id"), F.col("src").alias("group_id"))
-        mark = tuple(now)
-
-
 def consolidate(edges: DataFrame, rounds: int = MAX_FRONTIER_ROUNDS) -> DataFrame:
     """One row (id, group_id) for each vertex of ``edges`` (src, dst); group_id is the
     least id of the component. Rows with a null end, repeated and self edges add nothing;
     without edges the result is empty. Order and direction of the edges do not matter."""
     edges = edges.select("src", "dst").where("src <> dst")
     giant, rest = _peel(edges, rounds)
-    small = _propagate(rest)
+    small = propagate(rest)
     small = small.unionByName(small.select(F.col("group_id").alias("id"), "group_id").distinct())
     return small if giant is None else giant.unionByName(small)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonearm.llm import identity, lookalikes, mojibake, survivor
+from tonearm.llm import crossmatch, identity, leakage, lookalikes, mojibake, names, packing, privacy, survivor
 from tonearm.session import table
 
 
@@ -26,6 +26,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.library_lookalikes(table(spark, d, "tracks"), table(spark, d, "artists")).select("entry_id", "field_name")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return crossmatch.library_files(table(spark, d, "disk_files"), table(spark, d, "tracks")).select("entry_id", "file_id")
+
+
+def p5_scored(spark: SparkSession, d: str) -> DataFrame:
+    return crossmatch.library_files(table(spark, d, "disk_files"), table(spark, d, "tracks"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     rows = mojibake.library_garbled(*(table(spark, d, n) for n in ("tracks", "request_lines", "artists")))
     return rows.select("source_table", "row_id")
@@ -35,8 +43,44 @@ def p6_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.library_garbled(*(table(spark, d, n) for n in ("tracks", "request_lines", "artists")))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _variants(spark, d).select("source_table", "row_id", "artist_id")
+
+
+def _variants(spark: SparkSession, d: str) -> DataFrame:
+    return names.library_variants(*(table(spark, d, n) for n in ("tracks", "request_lines", "artists")))
+
+
+def p7_scored(spark: SparkSession, d: str) -> DataFrame:
+    return _variants(spark, d)
+
+
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"))
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.containers(packing.pack(table(spark, d, "documents")))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return privacy.personal_details(table(spark, d, "documents"), table(spark, d, "artists"))
+
+
+def p10_sanitised(spark: SparkSession, d: str) -> DataFrame:
+    return privacy.sanitised(table(spark, d, "documents"), table(spark, d, "artists"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p3_found, p3_survivors, p4_found, p6_found, p6_restored)
+    f.__name__: f
+    for f in (
+        p1_found, p3_found, p3_survivors, p4_found, p5_found, p5_scored, p6_found, p6_restored, p7_found, p7_scored,
+        p8_packed, p8_containers, p9_found, p10_found, p10_sanitised,
+    )
 }
 ORACLE: dict[str, str] = {}
 
