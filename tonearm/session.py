@@ -4,6 +4,7 @@ reading a table and cutting lineage in storage that outlives an executor."""
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,3 +56,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the shared checkpoint folder and go on from the files."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def store(df: DataFrame) -> DataFrame:
+    """Write the rows as a compressed table in the shared checkpoint folder and go on from it.
+
+    For rows that several branches read: columns are pruned and sizes known to the planner.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
