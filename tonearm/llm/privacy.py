@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonearm.session import cut
+from tonearm.session import store
 
 #: Bits by which a term must raise the chance of a protected entity beside it.
 DISCLOSURE_BITS = 3.0
@@ -198,37 +198,42 @@ def disclosed(found: DataFrame) -> DataFrame:
     follows = follows.select("lane", ((F.col("n") < 8) | (F.col("hits") / F.col("n") > 0.02) | (F.col("lane") == "")).alias("home"))
     homes = streets.join(follows, "lane").where("home or beside").select("doc_id", "pii_kind", "matched_text")
     lived = follows.where("home and lane <> ''").select("lane", F.lit(True).alias("lived"))
-    names = found.where("pii_kind = 'person_name'").join(lived, "lane", "left").withColumn("beside", F.col("beside") | F.coalesce("lived", F.lit(False)))
-    base = names.agg(F.avg(F.col("beside").cast("double")).alias("p")).first()["p"] or 1e-6
-    bits = lambda share: F.log2(F.greatest(share, F.lit(1e-9)) / base)
-    # Terms inside: the words of the name.
-    inside = names.select(F.explode("words").alias("word"), "beside").groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("beside").cast("int")).alias("hits"))
-    key = F.xxhash64("doc_id", "matched_text", "cue")
-    marked = cut(names.withColumn("key", key))
-    own = marked.select("key", "beside", F.explode(F.array_distinct("words")).alias("word")).join(inside, "word")
-    # A candidate is no witness of its own words.
-    others = own.withColumn("n", F.col("n") - 1).withColumn("hits", F.col("hits") - F.col("beside").cast("int"))
-    known = others.groupBy("key").agg(
-        F.max(F.when(F.col("n") > 0, F.col("hits") / F.col("n"))).alias("most"),
-        F.max("n").alias("support"),
-        F.min(F.col("n") - F.col("hits")).alias("plain"),
-    )
-    scored = marked.join(known, "key", "left")
-    strong = (F.col("most") >= CERTAIN) & (bits(F.col("most")) >= DISCLOSURE_BITS)
-    # Terms around: what leads to the name and follows it, counted over first witnesses.
-    scored = cut(scored.withColumn("witness", F.col("beside") | F.coalesce(strong, F.lit(False))))
-    around = scored.groupBy("cue").agg(F.count(F.lit(1)).alias("cue_n"), F.sum(F.col("witness").cast("int")).alias("cue_hits"))
-    judged = scored.join(around, "cue")
-    telling = (F.col("cue_hits") / F.col("cue_n") >= CERTAIN) & (F.col("cue_n") >= 3) & (bits(F.col("cue_hits") / F.col("cue_n")) >= DISCLOSURE_BITS)
+    every = found.where("pii_kind = 'person_name'")
+    # Only few names have a street beside them; the others need no look at it.
+    near = every.where("lane <> ''").join(lived, "lane", "left").withColumn("beside", F.col("beside") | F.coalesce("lived", F.lit(False))).drop("lived")
+    names = every.where("lane = ''").unionByName(near)
+    total = names.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("beside").cast("int")).alias("hits")).first()
+    floor = max(CERTAIN, 2**DISCLOSURE_BITS * (total["hits"] or 0) / max(total["n"], 1))
+    flag = F.col("beside").cast("int")
+
+    # Terms inside: how often a word stands in a name beside a protected entity. A candidate is no witness of its own words.
+    inside = names.select(F.explode("words").alias("word"), flag.alias("hit")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("hits"))
+    inside = store(inside)
+    row = ["doc_id", "matched_text", "cue", "beside", "words"]
+    spread = names.select(*row, F.explode(F.array_distinct("words")).alias("word"))
+    others = lambda rows: rows.withColumn("n", F.col("n") - 1).withColumn("hits", F.col("hits") - flag)
+    strong = others(spread.join(inside.where("hits > 0"), "word")).where((F.col("n") > 0) & (F.col("hits") / F.col("n") >= floor))
+    strong = store(strong.select(*row).distinct())
+
+    # Terms around: what leads to a name and follows it, witnessed by names beside an entity and by strong words.
+    around = names.groupBy("cue").agg(F.count(F.lit(1)).alias("n"), F.sum(flag).alias("hits"))
+    more = strong.where("not beside").groupBy("cue").agg(F.count(F.lit(1)).alias("more"))
+    telling = around.join(more, "cue", "left").where((F.col("n") >= 3) & ((F.col("hits") + F.coalesce("more", F.lit(0))) / F.col("n") >= floor)).select("cue")
+    chosen = names.join(telling, "cue").select(*row).unionByName(strong).distinct()
+
     # Words that mostly stand elsewhere are common words of the corpus, whatever is beside them here.
+    used = others(chosen.select(*row, F.explode(F.array_distinct("words")).alias("word")).join(inside, "word"))
+    known = used.groupBy("doc_id", "matched_text").agg(
+        F.max(F.when(F.col("n") > 0, F.col("hits") / F.col("n"))).alias("most"), F.min(F.col("n") - F.col("hits")).alias("plain")
+    )
     common = F.coalesce((F.col("most") < 0.1) & (F.col("plain") >= 4), F.lit(False))
-    people = judged.where((telling & ~common) | (F.coalesce(strong, F.lit(False)) & ~common)).select("doc_id", "pii_kind", "matched_text")
+    people = known.where(~common).select("doc_id", F.lit("person_name").alias("pii_kind"), "matched_text")
     return sure.select("doc_id", "pii_kind", "matched_text").unionByName(people).unionByName(homes).distinct()
 
 
 def personal_details(documents: DataFrame, artists: DataFrame) -> DataFrame:
     """(doc_id, pii_kind, matched_text), each distinct piece of a document once."""
-    return disclosed(cut(candidates(documents, artists)))
+    return disclosed(store(candidates(documents, artists)))
 
 
 def sanitised(documents: DataFrame, artists: DataFrame) -> DataFrame:
