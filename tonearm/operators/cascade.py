@@ -16,40 +16,42 @@ def with_parts(records: DataFrame) -> DataFrame:
     """Records with folded fields, folder parts and measurements computed once, before any join."""
     parts = paths.folder_parts(F.col("dir"))
     disk = F.col("from_disk") if "from_disk" in records.columns else F.lit(False)
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
     return records.select(
-        "rid", "primary_key", "artist", "title", "album", "audio_id", "filesize", "playtime_float", "file",
-        parts.alias("parts"), number(F.col("filesize")).alias("kb"), number(F.col("playtime_float")).alias("sec"), disk.alias("from_disk"),
+        "rid", "primary_key", text("audio_id").alias("audio_id"), text("filesize").alias("filesize"), text("playtime_float").alias("playtime_float"),
+        *[paths.casefold(text(c)).alias(c) for c in ("artist", "title", "album", "file")],
+        paths.bare_name(text("file")).alias("bare"), parts.alias("parts"), paths.casefold(F.array_join(parts, _JOIN)).alias("folders"),
+        number(F.col("filesize")).alias("kb"), number(F.col("playtime_float")).alias("sec"), disk.alias("from_disk"),
     )
 
 
 def tier_keys(records: DataFrame, level: str = "strict") -> DataFrame:
     """(rid, rank, tier, key, ...) one row per admitted tier whose fields are all filled. Null fields count as empty."""
-    r = with_parts(records)
-    text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    low = lambda c: paths.casefold(text(c))
-    last = F.element_at(F.col("parts"), -1)
+    r = with_parts(records).withColumn("folders", F.split("folders", _JOIN))
 
     def whole(*fields: str) -> Column:
         filled = F.lit(True)
         for f in fields:
-            filled = filled & (text(f) != "")
-        folded = [text(f) if f in ("filesize", "playtime_float", "audio_id") else low(f) for f in fields]
-        return F.when(filled, F.concat_ws(_JOIN, *folded))
+            filled = filled & (F.col(f) != "")
+        return F.when(filled, F.concat_ws(_JOIN, *fields))
+
+    def suffix(depth: int) -> Column:
+        deep = (F.size("parts") >= depth) & (F.col("file") != "")
+        return F.when(deep, F.concat_ws(_JOIN, F.array_join(F.slice("folders", -depth, depth), _JOIN), "file"))
 
-    bare = paths.bare_name(text("file"))
     made = {
         "audio_id": whole("audio_id"),
         "artist_title_size_time": whole("artist", "title", "filesize", "playtime_float"),
         "artist_title_file": whole("artist", "title", "file"),
         "file_size_time": whole("file", "filesize", "playtime_float"),
         "artist_title_album_time": whole("artist", "title", "album", "playtime_float"),
-        "path_suffix_3": paths.path_suffix(F.col("parts"), text("file"), 3),
-        "path_suffix_2": paths.path_suffix(F.col("parts"), text("file"), 2),
+        "path_suffix_3": suffix(3),
+        "path_suffix_2": suffix(2),
         "artist_title": whole("artist", "title"),
-        "path_suffix_1": paths.path_suffix(F.col("parts"), text("file"), 1),
-        "bare_name_in_folder": F.when((F.size("parts") > 0) & bare.isNotNull(), F.concat_ws(_JOIN, paths.casefold(last), bare)),
+        "path_suffix_1": suffix(1),
+        "bare_name_in_folder": F.when((F.size("parts") > 0) & F.col("bare").isNotNull(), F.concat_ws(_JOIN, F.element_at("folders", -1), "bare")),
         "filename": whole("file"),
-        "bare_name": bare,
+        "bare_name": F.col("bare"),
     }
     ranks = {t: i + 1 for i, (t, _) in enumerate(model.TIERS)}
     keys = F.array(*[F.struct(F.lit(ranks[t]).alias("rank"), F.lit(t).alias("tier"), made[t].alias("key")) for t in model.admitted(level)])

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonearm.session import cut
+from tonearm.session import cut, store
 
 
 def tree_paths(nodes: DataFrame) -> DataFrame:
@@ -125,6 +125,19 @@ def available_names(wanted: DataFrame, taken: DataFrame) -> DataFrame:
     return both.groupBy("family").applyInPandas(settle, "ord long, name string, new_name string")
 
 
+def positions(rows: DataFrame, order: list[Column], name: str = "pos") -> DataFrame:
+    """Rows numbered from 1 in one global order, without bringing them into one task.
+
+    Rows are range-partitioned and numbered within their range; only the sizes of the
+    ranges are summed up in order.
+    """
+    ranged = store(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    sizes = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.withColumn("__before", F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).drop("__n")
+    inside = ranged.withColumn("__at", F.row_number().over(Window.partitionBy("__range").orderBy(*order)))
+    return inside.join(before, "__range").withColumn(name, F.col("__before") + F.col("__at")).drop("__range", "__before", "__at")
+
+
 def carry_sorting(sorting: DataFrame, renamed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sorting rows with their new path, rows whose path is no playlist and does not start with `$`).
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tonearm import model
 from tonearm.functions import numbers, paths, text
-from tonearm.operators import cascade, discover, fingerprint, measures, merge, orphans, playlists, rewrite
+from tonearm.operators import cascade, discover, fingerprint, measures, merge, orphans, playlists, reports, rewrite
 from tonearm.plans import adapter
 from tonearm.session import cut, table
 from tonearm.streaming import tagcache
@@ -588,11 +588,10 @@ def parse_duration(spark, d):
 
 @query("SELECT p_partkey AS ref, row_number() OVER (ORDER BY lower(p_brand), p_partkey % 997, p_partkey) AS rank FROM part")
 def natural_sort(spark, d):
-    from pyspark.sql import Window
-
-    p = table(spark, d, "part")
-    brand = F.lower("p_brand")
-    return p.select(F.col("p_partkey").alias("ref"), F.row_number().over(Window.orderBy(brand, text.natural_key(F.concat(F.lit("track"), (F.col("p_partkey") % 997).cast("string"))), "p_partkey")).cast("long").alias("rank"))
+    part = F.col("p_partkey")
+    key = text.natural_key(F.concat(F.lit("track"), (part % 997).cast("string")))
+    p = table(spark, d, "part").select(part.alias("ref"), F.lower("p_brand").alias("brand"), key.alias("key"))
+    return playlists.positions(p, [F.col("brand"), F.col("key"), F.col("ref")], "rank").select("ref", "rank")
 
 
 def _resolved(spark, d):
@@ -735,3 +734,83 @@ def cache_misses(spark, d):
     keyed = files.withColumn("cache_key", tagcache.cache_key())
     cache = keyed.where("file_id % 3 = 0").select("cache_key", F.lit(None).cast("string").alias("tags"))
     return tagcache.misses(keyed, cache).select("file_id", "cache_key")
+
+
+# --- reports ---------------------------------------------------------------------------------------
+
+
+@query(
+    "WITH n AS (SELECT node_name || ' #' || p.node_id AS label, count(e.ref_id) AS value FROM playlist_nodes p JOIN playlist_entries e USING (collection_id, node_id) GROUP BY 1), "
+    "r AS (SELECT row_number() OVER (ORDER BY value DESC, label) AS rank, label, value::DOUBLE AS value FROM n) "
+    "SELECT rank, label, value FROM r WHERE rank <= 9 UNION ALL SELECT 10, 'others: ' || count(*), max(value) FROM r WHERE rank > 9 HAVING count(*) > 0"
+)
+def playlist_listing(spark, d):
+    n = table(spark, d, "playlist_nodes").select("collection_id", "node_id", "node_name")
+    sizes = table(spark, d, "playlist_entries").groupBy("collection_id", "node_id").agg(F.count(F.lit(1)).alias("value")).join(n, ["collection_id", "node_id"])
+    return reports.top_with_remainder(sizes.select(F.concat("node_name", F.lit(" #"), F.col("node_id").cast("string")).alias("label"), "value"), "value", "label", 9)
+
+
+@query(
+    _match_sql("filename")
+    + "SELECT count(*) AS all_rows, count(*) FILTER (s = 'matched') AS matched, count(*) FILTER (s = 'format') AS format_change, count(*) FILTER (s = 'ambiguous') AS ambiguous, count(*) FILTER (s = 'refuted') AS refuted, "
+    "count(*) FILTER (s = 'unmatched') AS unmatched, count(*) FILTER (rid % 4 <> 0) AS undecided FROM (SELECT won.rid, CASE WHEN outcome = 'matched' AND lower(regexp_extract(o.file, '\\.([^.]*)$', 1)) <> lower(regexp_extract(n.file, '\\.([^.]*)$', 1)) THEN 'format' ELSE outcome END AS s "
+    "FROM won JOIN old o ON o.rid = won.rid LEFT JOIN new n ON n.rid = won.new_rid)"
+)
+def review_filter_counts(spark, d):
+    rows = cascade.review_rows(*_pair(spark, d), "filename")
+    return reports.status_counts(rows.withColumn("decision", F.when(F.col("rid") % 4 == 0, "accept")))
+
+
+@query(
+    _GROUPED
+    + "SELECT count(*) FILTER (group_id % 3 <> 0) AS outstanding, count(*) FILTER (group_id % 3 = 0) AS decided, count(*) FILTER (group_id % 3 <> 0) = 0 AS all_decided FROM facts WHERE state = 'conflict'"
+)
+def resolve_gate(spark, d):
+    groups = cut(merge.group_facts(*_groups(spark, d)).where("state = 'conflict'").select("group_id"))
+    return reports.gate(groups, groups.where("group_id % 3 = 0").withColumn("pick", F.lit(1)))
+
+
+@query(
+    _GROUPED
+    + f""", v AS (SELECT group_id, concat_ws(chr(31), {", ".join(model.TRACKED)}) AS vals, min(rid) AS first, bool_or(input_idx = 1) AS own FROM m JOIN facts USING (group_id) WHERE state = 'conflict' GROUP BY 1, 2),
+r AS (SELECT group_id, own, CAST(row_number() OVER (PARTITION BY group_id ORDER BY first) AS INTEGER) AS candidate FROM v)
+SELECT group_id, min(candidate) AS pick FROM r WHERE own GROUP BY 1"""
+)
+def bulk_pick(spark, d):
+    return reports.bulk_pick(merge.conflict_candidates(*_groups(spark, d)), 1)
+
+
+@query(
+    f"WITH {adapter.NEW} SELECT rid, attr, l AS left_value, r AS right_value, l <> r AS differs FROM (SELECT o.rid, "
+    "unnest(['artist','title','album','filesize','playtime_float','bitrate']) AS attr, unnest([o.artist, o.title, o.album, o.filesize, o.playtime_float, o.bitrate]) AS l, unnest([n.artist, n.title, n.album, n.filesize, n.playtime_float, n.bitrate]) AS r FROM old o JOIN new n USING (rid))"
+)
+def answer_fields(spark, d):
+    return reports.field_rows(*_pair(spark, d), "rid").drop("shown")
+
+
+@query(
+    _GROUPED + _KEPT.format("")
+    + """, c AS (SELECT m.group_id, u.attr, u.other, u.kept FROM m JOIN kept k USING (group_id) JOIN m kk ON kk.rid = k.rid JOIN facts ON facts.group_id = m.group_id AND state = 'settled',
+  LATERAL (VALUES ('filesize', m.filesize, kk.filesize), ('playtime_float', m.playtime_float, kk.playtime_float), ('bitrate', m.bitrate, kk.bitrate)) u(attr, other, kept)),
+x AS (SELECT *, round(abs(kept::DECIMAL(18,6) - other::DECIMAL(18,6))::DOUBLE / greatest(kept::DECIMAL(18,6), other::DECIMAL(18,6))::DOUBLE, 6) AS gap FROM c),
+y AS (SELECT * FROM x WHERE gap > 0.01 QUALIFY row_number() OVER (PARTITION BY group_id, attr ORDER BY gap DESC, other) = 1)
+SELECT group_id, printf('%s %s..%s gap %.4f kept %s', attr, CASE WHEN kept::DOUBLE <= other::DOUBLE THEN kept ELSE other END, CASE WHEN kept::DOUBLE <= other::DOUBLE THEN other ELSE kept END, gap, kept) AS line FROM y"""
+)
+def outlier_lines(spark, d):
+    r, g = _groups(spark, d)
+    return reports.outlier_lines(merge.outlier_readings(r, g, merge.survivors(r, g)))
+
+
+@query(
+    "SELECT file_id, '/:' || array_to_string([x for x in string_split(replace(replace(scan_root, '/media/', ''), '\\', '/'), '/') if x <> ''], '/:') || '/:' || file_name AS location FROM disk_files"
+)
+def location_encode(spark, d):
+    f = table(spark, d, "disk_files")
+    return f.select("file_id", rewrite.encode_location(F.concat("scan_root", "file_name"), "/media/", "").alias("location"))
+
+
+@query(
+    "SELECT scan_root || file_name AS path, CASE WHEN starts_with(scan_root, '/media/lib00/dub/') THEN '/media/lib00/dub' WHEN starts_with(scan_root, '/media/lib00/') THEN '/media/lib00' END AS root FROM disk_files"
+)
+def scan_roots(spark, d):
+    return rewrite.scan_root_of(table(spark, d, "disk_files").select(F.concat("scan_root", "file_name").alias("path")), ["/media/lib00/dub", "/media/lib00"])
