@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import codecs
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -131,7 +132,10 @@ def _explain(alphabet: frozenset[str], telling: dict[str, str]):
                 hit = True
             if done is not None and hit:
                 return True, "".join(done)
-        return any(ch in telling for ch in token), None
+        # One foreign letter in a word of one alphabet is no sign; a symbol or a mixture is.
+        latin = any("a" <= ch.lower() <= "z" for ch in token)
+        odd = lambda ch: ch in telling and (not ch.isalpha() or (latin and not unicodedata.name(ch, "LATIN").startswith("LATIN")))
+        return any(odd(ch) for ch in token), None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -157,7 +161,7 @@ def garbled_tokens(texts: DataFrame, words: DataFrame) -> DataFrame:
     )
     # A token that look-alike letters alone set apart from a plain word is not garbled.
     skeleton = F.translate("token", *LOOKALIKES)
-    unknown = unknown.where(~skeleton.rlike(r"^[\x00-\x7f]*$"))
+    unknown = unknown.where(~(skeleton.rlike(r"^[\x00-\x7f]*$") & F.col("token").rlike("[A-Za-z]")))
     unknown = cut(unknown.join(words.select(F.col("word").alias("plain")), (skeleton == F.col("plain")) & (skeleton != F.col("token")), "left_anti"))
     forms = words.select("word", F.inline(garbled_forms("word")))
     by_word = (
