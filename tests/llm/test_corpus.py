@@ -116,11 +116,13 @@ def test_personal_details_by_disclosure(spark):
         docs.append((n := n + 1, f"The set was long. Account holder: {p}; mail: user{i}@mail.example; that is all."))
     for i in range(60):
         docs.append((n := n + 1, f"Lunar Garden sits between house and dub. {i} Lunar Street is the opener of Garden Tapes, not a shop. Keiko Performer closed the night with Garden Lunar."))
+    docs += [(905, "Mrs Visakap, Nula has left.\nDrop it through the door of 7 Harbour Lane after six.")]
     docs += [(900, "Mrs Fulo Zorsodob at the front desk has the stick.\nParcels go to 12 Harbour Lane, 30552 Town."), (901, None), (902, ""), (903, "x" * 20000), (904, "Ask 5@6 nothing")]
     d = spark.createDataFrame([(*x, "clash") for x in docs], "doc_id long, text string, cue string")
     a = spark.createDataFrame([("Keiko Performer",), (None,)], "artist_name string")
     got = rows(privacy.personal_details(d, a))
-    assert {(k, t) for _, k, t in got if k == "person_name"} == {("person_name", p) for p in people}
+    assert {(k, t) for _, k, t in got if k == "person_name"} == {("person_name", p) for p in [*people, "Visakap, Nula"]}
+    assert {(905, "street_address", "7 Harbour Lane"), (900, "street_address", "12 Harbour Lane")} <= set(got)
     assert (900, "person_name", "Fulo Zorsodob") in got
     assert sum(k == "email" for _, k, _ in got) == 18
     assert not any(k == "street_address" and "Lunar" in t for _, k, t in got)

@@ -12,10 +12,10 @@ def test_one_slip():
     assert not any(names.one_slip(a, b) for a, b in [("abcd", "badc"), ("abc", "a"), ("abc", "bca"), ("", "ab")])
 
 
-ARTISTS = [(1, "William Kavadana"), (2, "The Pinpuze Collective"), (3, "DJ Buranmir"), (4, "Zetinfersor & Elirbu"), (5, "Zoë Renrudin"), (6, "Imani Gikavun"), (7, "Ivana Gikavun"), (8, None)]
+ARTISTS = [(1, "William Kavadana"), (2, "The Pinpuze Collective"), (3, "DJ Buranmir"), (4, "Zetinfersor & Elirbu"), (5, "Zoë Renrudin"), (6, "Imani Gikavun"), (7, "Ivana Gikavun"), (8, None), (9, "Xenia Safalon")]
 VARIANTS = {
     "Bill Kavadana": 1, "W. Kavadana": 1, "Kavadana, William": 1, "william kavadana": 1, "Wiliam Kavadana": 1, "WilliamKavadana": 1, "Pinpuze Coll.": 2, "Pinpuze Collective, The": 2, "Buranmir": 3, "D.J. Buranmir": 3,
-    "Buranmir (DJ)": 3, "Elirbu + Zetinfersor": 4, "Zetinfersor x Elirbu": 4, "Zoe Renrudin": 5, "ZoÃ« Renrudin": 5, "Zoë  Renrudin": 5,
+    "Buranmir (DJ)": 3, "Elirbu + Zetinfersor": 4, "Zetinfersor x Elirbu": 4, "Zoe Renrudin": 5, "ZoÃ« Renrudin": 5, "Zoë  Renrudin": 5, "X. Safalon": 9, "Safalon, X": 9,
 }
 
 

@@ -41,7 +41,7 @@ KINDS = {
 }
 KIND_WORDS = {*KINDS.values()}
 TITLES = {"dj", "mc", "dr", "lady"}
-LOOSE = {"the", "and", "vs", "x", "with", "feat", "ft", "und", "y", "et"}
+LOOSE = {"the", "and", "vs", "with", "feat", "ft", "und"}
 LETTERS = str.maketrans({"ø": "o", "đ": "d", "ł": "l", "æ": "ae", "œ": "oe", "ð": "d", "þ": "th", "ħ": "h", "ŧ": "t"})
 SHAPES = str.maketrans(*mojibake.LOOKALIKES)
 #: Cost of each rule; the cheapest explanation of a typed name wins.
@@ -52,7 +52,8 @@ def fold(text: str) -> list[str]:
     """Lower-case words without accents, look-alikes and punctuation, legal forms in full."""
     text = unicodedata.normalize("NFKD", text).translate(SHAPES)
     text = "".join(ch for ch in text if not unicodedata.combining(ch) and unicodedata.category(ch) != "Cf").casefold().translate(LETTERS)
-    text = text.replace("soundsys", "sound system")
+    # A lone x or y between two words joins them; at the end it is an initial.
+    text = re.sub(r"(?<=\w) +(?:x|y|et) +(?=\w)", " & ", text.replace("soundsys", "sound system"))
     text = re.sub(r"\bd\.?j\b\.?", "dj", re.sub(r"\bm\.?c\b\.?", "mc", text))
     return [KINDS.get(w, w) for w in re.findall(r"[^\W_]+", text)]
 

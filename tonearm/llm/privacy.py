@@ -67,6 +67,10 @@ STREETS = [
     ),
 ]
 NAME = re.compile(rf"(?<![\w/:.@_-])(?:[{_UP}]\. {_CAP}(?! {_CAP})|{_CAP}(?: [{_UP}]\.(?= {_CAP})| {_CAP}){{1,4}}|(?<!\d )(?<!\d){_CAP}, {_CAP}(?: [{_UP}]\.(?! {_CAP}))?(?! [{_UP}]))(?![\w@]|[/:_]\w)")
+#: Words of a street that are no part of its own name.
+STREET_WORDS = {w.lower() for w in _KINDS_EN.split("|")} | set(
+    "rue avenue boulevard place chemin impasse quai allee cours passage bis ter calle avenida plaza paseo camino ronda travesia straße strasse weg platz gasse allee ring ufer damm am im an der den auf dem zum zur del las los de la du des".split()
+)
 #: Words that start a sentence or label a field and are no part of a name.
 STARTERS = {
     "the", "when", "between", "best", "still", "oddly", "and", "at", "if", "after", "in", "on", "for", "from", "ask", "call", "dear", "hi", "hello", "thanks", "regards", "update", "someone",
@@ -145,7 +149,8 @@ def pieces(text: str, performers: frozenset[str], known: dict[str, tuple[str, ..
         if not any(x < b and a < y for x, y in spots):
             cue = _cue(text, a, b)
             lanes.append((a, b, cue.rsplit("|", 1)[1]))
-            out.append(("street_address", text[a:b], cue, (), beside(a, b, spots), ""))
+            own = tuple(w for w in fold(text[a:b]) if w.isalpha() and len(w) > 2 and w not in STREET_WORDS)
+            out.append(("street_address", text[a:b], cue, own, beside(a, b, spots), ""))
     taken = sorted(spots + streets)
     for m in NAME.finditer(text):
         a, b = m.span()
@@ -156,6 +161,11 @@ def pieces(text: str, performers: frozenset[str], known: dict[str, tuple[str, ..
                 a, name = a + len(head) + 1, rest
             else:
                 break
+        if " " not in name and a > m.start():
+            # What is left of a label is one word: the name may be turned round after it.
+            again = NAME.match(text, a)
+            if again:
+                b, name = again.end(), again.group()
         if " " not in name or any(x < b and a < y for x, y in taken):
             continue
         words = known.get(name)
@@ -196,7 +206,6 @@ def disclosed(found: DataFrame) -> DataFrame:
     # A street that is spoken of like a title stands beside no protected entity anywhere in the corpus.
     follows = streets.groupBy("lane").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("beside").cast("int")).alias("hits"))
     follows = follows.select("lane", ((F.col("n") < 8) | (F.col("hits") / F.col("n") > 0.02) | (F.col("lane") == "")).alias("home"))
-    homes = streets.join(follows, "lane").where("home or beside").select("doc_id", "pii_kind", "matched_text")
     lived = follows.where("home and lane <> ''").select("lane", F.lit(True).alias("lived"))
     every = found.where("pii_kind = 'person_name'")
     # Only few names have a street beside them; the others need no look at it.
@@ -209,6 +218,13 @@ def disclosed(found: DataFrame) -> DataFrame:
     # Terms inside: how often a word stands in a name beside a protected entity. A candidate is no witness of its own words.
     inside = names.select(F.explode("words").alias("word"), flag.alias("hit")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("hits"))
     inside = store(inside)
+    # Where a street is spoken of like a title its own words decide: words of titles stand in many names.
+    streets = streets.join(follows, "lane")
+    worn = (
+        streets.where("not home and not beside").select("doc_id", "matched_text", F.explode("words").alias("word"))
+        .join(inside.where("n - hits >= 4").select("word"), "word", "left_semi").select("doc_id", "matched_text").distinct()
+    )
+    homes = streets.join(worn, ["doc_id", "matched_text"], "left_anti").select("doc_id", "pii_kind", "matched_text")
     row = ["doc_id", "matched_text", "cue", "beside", "words"]
     spread = names.select(*row, F.explode(F.array_distinct("words")).alias("word"))
     others = lambda rows: rows.withColumn("n", F.col("n") - 1).withColumn("hits", F.col("hits") - flag)
