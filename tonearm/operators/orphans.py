@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tonearm.session import cut
+from tonearm.session import cut, store
 
 RANGE_BITS = 15
 #: References of one code that a single sweep partition takes before the code is salted.
@@ -62,7 +62,7 @@ def encode_keys(*keyed: DataFrame) -> DataFrame:
     for other in keyed[1:]:
         keys = keys.unionByName(other)
     keys = keys.where(" and ".join(f"`{c}` is not null" for c in cols)).distinct()
-    return cut(keys.withColumn("code", F.monotonically_increasing_id()))
+    return store(keys.withColumn("code", F.monotonically_increasing_id()))
 
 
 def _month(at: Column) -> Column:

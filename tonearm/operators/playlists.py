@@ -80,10 +80,13 @@ def ordered_union(base: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def same_sequence(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(node_id, same): whether the two ordered key lists of a node are equal; a missing list is an empty one."""
-    seq = lambda df, n: df.groupBy("node_id").agg(F.sort_array(F.collect_list(F.struct("pos", "key"))).alias(n))
-    keys = lambda c: F.coalesce(F.transform(c, lambda x: x["key"]), F.array().cast("array<string>"))
-    return seq(a, "a").join(seq(b, "b"), "node_id", "full").select("node_id", (keys(F.col("a")) == keys(F.col("b"))).alias("same"))
+    """(node_id, same): whether the two key lists of a node, numbered from 1, are equal; a missing list is an empty one.
+
+    Lists are compared place by place, so a long list is never gathered.
+    """
+    one = lambda df, n: df.select("node_id", "pos", F.col("key").alias(n), F.lit(True).alias("in_" + n))
+    both = one(a, "a").join(one(b, "b"), ["node_id", "pos"], "full")
+    return both.groupBy("node_id").agg(F.bool_and(F.col("in_a").isNotNull() & F.col("in_b").isNotNull() & F.col("a").eqNullSafe(F.col("b"))).alias("same"))
 
 
 def pair_by_path(base: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -196,9 +196,9 @@ def match_cross_source(spark, d):
     return cascade.match(old, new.withColumn("from_disk", F.lit(True)), "loose")
 
 
-@query(_match_sql("loose") + "SELECT rid, new_key FROM won WHERE rid % 16 = 14 AND outcome = 'matched'")
+@query(_match_sql("loose") + "SELECT rid, new_key FROM won WHERE outcome = 'matched' AND contains(new_key, '/:Sync_/:')")
 def sync_preference(spark, d):
-    return cascade.match(*_pair(spark, d), "loose").where("rid % 16 = 14 and outcome = 'matched'").select("rid", "new_key")
+    return cascade.match(*_pair(spark, d), "loose").where("outcome = 'matched' and contains(new_key, '/:Sync_/:')").select("rid", "new_key")
 
 
 _COUNTERS = "SELECT 'matched' AS counter, count(*) FILTER (outcome = 'matched') AS value FROM won " + "".join(
@@ -684,13 +684,12 @@ def fingerprint_clusters(spark, d):
 
 
 @query(
-    "SELECT audio_id, count(*) AS members, count(DISTINCT lower(coalesce(artist,'')) || chr(31) || lower(coalesce(title,''))) AS names, round(min(sec), 6) AS min_sec, round(max(sec), 6) AS max_sec FROM "
-    "(SELECT *, CASE WHEN regexp_matches(playtime_float, '^\\s*[+-]?(\\d+(\\.\\d*)?|\\.\\d+)\\s*$') THEN try_cast(playtime_float AS DOUBLE) END AS sec FROM tracks WHERE audio_id <> '' AND regexp_full_match(coalesce(artist,'') || coalesce(title,''), '[\\x00-\\x7f]*')) "
+    "SELECT audio_id, count(*) AS members, count(DISTINCT replace(lower(coalesce(artist,'')), 'ς', 'σ') || chr(31) || replace(lower(coalesce(title,'')), 'ς', 'σ')) AS names, round(min(sec), 6) AS min_sec, round(max(sec), 6) AS max_sec FROM "
+    "(SELECT *, CASE WHEN regexp_matches(playtime_float, '^\\s*[+-]?(\\d+(\\.\\d*)?|\\.\\d+)\\s*$') THEN try_cast(playtime_float AS DOUBLE) END AS sec FROM tracks WHERE audio_id <> '') "
     "GROUP BY 1 HAVING members > 1 AND (names > 1 OR max(sec) - min(sec) > 1.0)"
 )
 def audio_id_collisions(spark, d):
-    plain = F.concat(F.coalesce("artist", F.lit("")), F.coalesce("title", F.lit(""))).rlike(r"^[\x00-\x7f]*$")
-    return measures.audio_id_collisions(table(spark, d, "tracks").where(plain))
+    return measures.audio_id_collisions(table(spark, d, "tracks"))
 
 
 @query(
