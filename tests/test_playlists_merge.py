@@ -1,8 +1,12 @@
 import itertools
 import random
+import re
+from pathlib import PurePosixPath
 
 from conftest import rows
+from pyspark.sql import functions as F
 
+from tonearm.functions import text
 from tonearm.operators import components, discover, fingerprint, measures, merge, playlists, rewrite
 
 
@@ -89,6 +93,44 @@ def test_discovery_against_all_pairs(spark):
     assert [x[:3] for x in rows(r)] == sorted(want)
 
 
+def test_discovery_of_untagged_files_against_all_pairs(spark):
+    import difflib
+
+    from tonearm.functions.text import STOP_WORDS, normalise_py
+
+    asked = [(1, "Ursula Fezo", "Kapamisis Pupil"), (2, "Zoe Bar", "River"), (3, "Nobody", "Unheard"), (4, "Rita", "Night Song")]
+    files = [
+        (10, None, None, "07 Ursula Fezo - Kapamisis & Pupil.mp3"), (11, "", "Kapamisis", "x.mp3"), (12, "Zoe Bar", None, "River_Blue.mp3"), (13, None, "River", "Zoe Bar - River.flac"),
+        (14, None, None, None), (15, None, None, "12A Zoe Bar - River.wav"), (17, "Rita", "Night Song", "b/n.mp3"), (18, "Rita", "Night Song", "A/n.mp3"),
+    ]
+    label = lambda n: re.sub(r"^(?:\d{1,2}[a-z]|\d{1,3})[ _-]+", "", PurePosixPath(n or "").stem.replace("_", " "), flags=re.I)
+    tok = lambda s: {w for w in normalise_py(s).split() if w not in STOP_WORDS}
+    cov = lambda a, b: len(tok(a) & tok(b)) / len(tok(a)) if tok(a) else 0
+    best = lambda a, b: max(difflib.SequenceMatcher(None, normalise_py(a), normalise_py(b)).ratio(), cov(a, b))
+    want = []
+    for line, a, t in asked:
+        s = []
+        for c, x, y, n in files:
+            xb, yb = x or label(n), y or label(n)
+            if cov(t, yb):
+                sa, st, full = best(a, xb), best(t, yb), best(f"{a} {t}", f"{xb} {yb}" if x or y else label(n))
+                s.append((-round(0.3 * sa + 0.55 * st + 0.15 * full, 6), (n or "").casefold(), c, round(sa, 6), round(st, 6)))
+        s = sorted(x for x in s if -x[0] >= 0.5)[:3]
+        want += [(line, k + 1, c, -v, sa, st) for k, (v, _, c, sa, st) in enumerate(s)] or [(line, 1, None, 0.0, 0.0, 0.0)]
+    offers = spark.createDataFrame(files, "cand long, c_artist string, c_title string, c_path string")
+    r = discover.rank(spark.createDataFrame(asked, "line long, artist string, title string"), offers.withColumn("c_label", text.file_label(F.regexp_replace("c_path", "^.*/", ""))))
+    assert rows(r) == sorted(want, key=repr)
+    assert {10, 12, 15} <= {x[2] for x in want} and (3, 1, None, 0.0, 0.0, 0.0) in want and [x[2] for x in want if x[0] == 4] == [18, 17]
+
+
+def test_discovery_asks_files_without_tags(spark, tmp_path):
+    from tonearm.plans.queries import QUERIES
+
+    spark.createDataFrame([(20, "Ursula Fezo", "Kapamisis"), (40, "Nobody", "Unheard"), (60, None, None)], "line_id long, artist string, title string").write.parquet(f"{tmp_path}/request_lines.parquet")
+    spark.createDataFrame([(1, "/m/", "Ursula Fezo - Kapamisis.mp3", None, None)], "file_id long, scan_root string, file_name string, artist string, title string").write.parquet(f"{tmp_path}/disk_files.parquet")
+    assert [x[:3] for x in rows(QUERIES["discover_topk"](spark, str(tmp_path)))] == [(20, 1, 1), (40, 1, None)]
+
+
 def test_fingerprints_against_all_pairs(spark):
     rng = random.Random(1)
     base = [[rng.random() for _ in range(6)] for _ in range(3)]

@@ -630,7 +630,10 @@ def unresolved_rows(spark, d):
 
 def _asked(spark, d):
     t = table(spark, d, "request_lines").where("artist is not null and line_id % 20 = 0").select(F.col("line_id").alias("line"), "artist", "title")
-    o = table(spark, d, "disk_files").where("title is not null").select(F.col("file_id").alias("cand"), F.col("artist").alias("c_artist"), F.col("title").alias("c_title"))
+    o = table(spark, d, "disk_files").select(
+        F.col("file_id").alias("cand"), F.col("artist").alias("c_artist"), F.col("title").alias("c_title"),
+        text.file_label(F.col("file_name")).alias("c_label"), F.concat("scan_root", "file_name").alias("c_path"),
+    )
     return t, o
 
 
