@@ -76,3 +76,15 @@ def test_index_loses_no_acceptable_pair(spark):
             known = dt is not None or ds is not None
             if known and (dt is None or dt <= crossmatch.SECONDS) and (ds is None or ds <= math.log1p(crossmatch.SIZE_SHARE)) and len(wx & wy) >= len(wx) / 2:
                 assert (x[0], y[0]) in got, (x, y)
+
+
+def _candidates(spark, file, tracks):
+    f = crossmatch.describe(spark.createDataFrame([file], REC.format("file_id")), "file_id")
+    t = crossmatch.describe(spark.createDataFrame(tracks, REC.format("entry_id")), "entry_id")
+    return {tuple(r) for r in crossmatch.candidates(crossmatch.weighted(f, t), t).collect()}
+
+
+def test_short_words_and_numbers_are_asked(spark):
+    """Turmusos and 20 are half of the words of the file and stand in the entry; the look-alike word does not count."""
+    tracks = [(1, "Botavevu, R.", "Turmusos B\u03b1\u0501\u03b9mun 20 (Radio Cut)", "7280", "303.801", None, 0.0), (2, "Turmusos", "Badimun", "900", "100.0", None, 0.0), (3, "Turmusos", "Badimun", "910", "120.0", None, 0.0)]
+    assert (9, 1) in _candidates(spark, (9, None, "turmusos badimun 20 (radio cut)", "7236", "303.801", None, 0.0), tracks)

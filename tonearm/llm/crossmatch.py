@@ -87,8 +87,7 @@ def _terms(record: DataFrame, asks: bool) -> DataFrame:
     lacks a measurement, the term holds the word and the band of the other; without any, the
     whole set of words.
     """
-    long_words = F.filter("prefix" if asks else "words", lambda w: (F.length(w) >= 4) & ~w.rlike(r"^\p{N}+$"))
-    keyed = _bands(record, asks).withColumn("kw", F.when(F.size(long_words) > 0, long_words).otherwise(F.col("prefix" if asks else "words")))
+    keyed = _bands(record, asks).withColumn("kw", F.col("prefix" if asks else "words"))
     has_t, has_s = F.col("sec").isNotNull(), F.col("kb").isNotNull()
     none = F.array().cast("array<bigint>")
     cross = lambda xs, f: F.flatten(F.transform(xs, f))
