@@ -88,3 +88,12 @@ def test_short_words_and_numbers_are_asked(spark):
     """Turmusos and 20 are half of the words of the file and stand in the entry; the look-alike word does not count."""
     tracks = [(1, "Botavevu, R.", "Turmusos B\u03b1\u0501\u03b9mun 20 (Radio Cut)", "7280", "303.801", None, 0.0), (2, "Turmusos", "Badimun", "900", "100.0", None, 0.0), (3, "Turmusos", "Badimun", "910", "120.0", None, 0.0)]
     assert (9, 1) in _candidates(spark, (9, None, "turmusos badimun 20 (radio cut)", "7236", "303.801", None, 0.0), tracks)
+
+
+def test_misspelt_words_are_candidates(spark):
+    tracks = [
+        (1, "DJ Sarnelorm", "Vunisal Dirlavamul", "7185", "209.481", None, 0.0), (2, "D. J. Sarnelora", None, "900", "100.0", None, 0.0), (3, "Zzyx", "Qqqw", "7190", "209.3", None, 0.0),
+        (4, "Sarnelxxa", "Vunisxxl", None, "209.3", None, 0.0),
+    ]
+    got = _candidates(spark, (9, "D.J. Sarnelora", "vunisal dirlavamul", "7158", "209.718", None, 0.0), tracks)
+    assert got == {(9, 1), (9, 4)}

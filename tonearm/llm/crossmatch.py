@@ -1,11 +1,11 @@
 """Records of two tables matched without a common key.
 
-An inverted index over all attributes finds the candidates: its terms join a word of artist
-or title to the bands of running time and size, because a pair can only reach the acceptance
-score with a word in common and with every measurement agreeing that both sides have. So
-posting lists stay short and nothing that could be accepted is pruned. Candidates are
-scored by BM25; mutual nearest neighbours stay, and a logistic curve fitted to the score
-gap gives the confidence.
+An index over the bands of running time and size finds the candidates, because every
+measurement that both sides have must agree; where none is shared, the whole set of words
+must. Words are compared only inside a band: any of them may be misspelt, so no word is
+needed to meet and nothing that could be accepted is pruned. The pairs of a band grow with
+the square of the tables. Candidates are scored by BM25; mutual nearest neighbours stay,
+and a logistic curve fitted to the score gap gives the confidence.
 """
 
 from __future__ import annotations
@@ -27,8 +27,6 @@ K1, B = 1.2, 0.4
 ACCEPT = 0.5
 #: Share of the words of the shorter record that must have a counterpart.
 COVER = 0.6
-#: Share of a file's words that a candidate has exactly; the rest may be misspelt.
-PREFIX = 0.5
 #: Fixed value: version notes that mean the plain version.
 PLAIN_VERSION = "original mix"
 
@@ -81,79 +79,82 @@ def _bands(record: DataFrame, wide: bool) -> DataFrame:
 
 
 def _terms(record: DataFrame, asks: bool) -> DataFrame:
-    """(term, id): hashed index terms.
+    """The records once for each hashed index term.
 
-    Where both sides have time and size, a term holds a word and both bands. Where one side
-    lacks a measurement, the term holds the word and the band of the other; without any, the
-    whole set of words.
+    Where both sides have time and size, a term holds both bands. Where one side lacks a
+    measurement, the term holds the band of the other; without one in common, the whole set of
+    words. Misspelt words may leave no word in common, so the bands do without words, and a
+    pair within tolerance meets under one term only.
     """
-    keyed = _bands(record, asks).withColumn("kw", F.col("prefix" if asks else "words"))
+    keyed = _bands(record.where(F.size("words") > 0), asks)
     has_t, has_s = F.col("sec").isNotNull(), F.col("kb").isNotNull()
     none = F.array().cast("array<bigint>")
-    cross = lambda xs, f: F.flatten(F.transform(xs, f))
-    w = F.col("kw")
-    both = F.when(has_t & has_s, cross(w, lambda x: cross(F.col("tb"), lambda t: F.transform("sb", lambda s: F.xxhash64(F.lit(0), x, t, s))))).otherwise(none)
-    # One band alone: "mine" where this side lacks the other measurement, "yours" where the other side may lack it.
-    by_t = lambda tag: cross(w, lambda x: F.transform("tb", lambda t: F.xxhash64(F.lit(tag), x, t)))
-    by_s = lambda tag: cross(w, lambda x: F.transform("sb", lambda s: F.xxhash64(F.lit(tag), x, s)))
-    ask_t, ask_s, tell_t, tell_s = (1, 2, 3, 4) if asks else (3, 4, 1, 2)
-    mine = F.when(has_t & ~has_s, F.concat(by_t(ask_t), by_t(tell_t))).when(~has_t & has_s, F.concat(by_s(ask_s), by_s(tell_s)))
-    yours = F.when(has_t & has_s, F.concat(by_t(tell_t), by_s(tell_s)))
-    bare = F.when(F.size("words") > 1, F.array(F.xxhash64(F.lit(5), F.array_join(F.array_sort("words"), " ")))).otherwise(none)
-    terms = F.concat(both, F.coalesce(mine, none), F.coalesce(yours, none), bare)
-    return keyed.select("id", F.explode(F.array_distinct(terms)).alias("term"))
+    both = F.flatten(F.transform("tb", lambda t: F.transform("sb", lambda s: F.xxhash64(F.lit(0), t, s))))
+    by = lambda tag, bands: F.transform(bands, lambda b: F.xxhash64(F.lit(tag), b))
+    # Terms 1 and 2 are for a file with time or size alone, 3 and 4 for an entry with time or size alone.
+    full = F.concat(both, by(3, "tb"), by(4, "sb")) if asks else F.concat(both, by(1, "tb"), by(2, "sb"))
+    half = (by(1, "tb"), by(2, "sb")) if asks else (F.concat(by(1, "tb"), by(3, "tb")), F.concat(by(2, "sb"), by(4, "sb")))
+    terms = F.when(has_t & has_s, full).when(has_t, half[0]).when(has_s, half[1]).otherwise(none)
+    bare = F.when((F.size("words") > 1) & ~(has_t & has_s), F.array(F.xxhash64(F.lit(5), F.array_join(F.array_sort("words"), " ")))).otherwise(none)
+    return keyed.withColumn("term", F.explode(F.concat(terms, bare))).drop("tb", "sb")
+
+
+def _likeness(w: Column, v: Column) -> Column:
+    """Likeness of two different words, a half for an initial."""
+    initial = (F.least(F.length(w), F.length(v)) == 1) & (F.substring(w, 1, 1) == F.substring(v, 1, 1))
+    return F.when(initial, 0.5).otherwise(1 - F.levenshtein(w, v) / F.greatest(F.length(w), F.length(v)))
+
+
+def _alike(w: Column, v: Column) -> Column:
+    """Whether two words count for each other at all; the lengths settle most of it."""
+    low, high = F.least(F.length(w), F.length(v)), F.greatest(F.length(w), F.length(v))
+    slips = F.levenshtein(w, v)
+    return ((low == 1) & (F.substring(w, 1, 1) == F.substring(v, 1, 1))) | ((2 * low >= high) & ((5 * slips <= 2 * high) | (2 * slips == high)))
+
+
+def meetings(ask: DataFrame, tell: DataFrame) -> DataFrame:
+    """File (file, fw, fv, fp, ft, fs, idf) and entry (entry, ew, ev, ep, et, es) of each pair that no measurement refutes
+    and that has a word or a similar word in common, with dt and ds."""
+    f = _terms(ask, True).select(
+        "term", F.col("id").alias("file"), F.col("words").alias("fw"), F.col("version").alias("fv"), F.col("parts").alias("fp"), F.col("sec").alias("ft"), F.col("kb").alias("fs"), "idf"
+    )
+    e = _terms(tell, False).select("term", F.col("id").alias("entry"), F.col("words").alias("ew"), F.col("version").alias("ev"), F.col("parts").alias("ep"), F.col("sec").alias("et"), F.col("kb").alias("es"))
+    met = f.join(e, "term").withColumn("dt", F.abs(F.col("ft") - F.col("et"))).withColumn("ds", F.abs(F.log(F.col("fs") / F.col("es"))))
+    met = met.where((F.col("dt").isNull() | (F.col("dt") <= SECONDS)) & (F.col("ds").isNull() | (F.col("ds") <= math.log1p(SIZE_SHARE))))
+    similar = F.exists("fw", lambda w: F.exists("ew", lambda v: _alike(w, v)))
+    return met.where(F.arrays_overlap("fw", "ew") | similar).drop("term")
 
 
 def candidates(ask: DataFrame, tell: DataFrame) -> DataFrame:
-    """Distinct (file, entry) that share an index term."""
-    left = _terms(ask, True).select("term", F.col("id").alias("file"))
-    right = _terms(tell, False).select("term", F.col("id").alias("entry"))
-    return left.join(right, "term").select("file", "entry").distinct()
+    """Distinct (file, entry) that can be scored."""
+    return meetings(ask, tell).select("file", "entry").distinct()
 
 
 def weighted(ask: DataFrame, tell: DataFrame) -> DataFrame:
-    """``ask`` with its words from rare to frequent in ``tell``, their idf, and its prefix: the rarest words, of which
-    every candidate that shares half of the words has one. The most frequent ones need no look-up."""
+    """``ask`` with its words from rare to frequent in ``tell`` and their idf."""
     count = tell.count()
     df = tell.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     seen = F.coalesce("df", F.lit(0))
     idf = F.log(1 + (count - seen + 0.5) / (seen + 0.5))
     ranked = F.sort_array(F.collect_list(F.struct(seen.alias("df"), "word", idf.alias("idf"))))
     w = ask.select("id", F.explode("words").alias("word")).join(df, "word", "left").groupBy("id").agg(ranked.alias("ranked"))
-    # Words that no record has are misspelt: they are shared by nobody and lower what must be shared.
-    real = F.filter("ranked", lambda x: x["df"] > 0)
-    must = F.greatest(F.lit(1), F.ceil(F.size("ranked") * PREFIX).cast("int") - (F.size("ranked") - F.size(real)))
-    w = w.select(
-        "id", F.transform("ranked", lambda x: x["word"]).alias("words"), F.transform("ranked", lambda x: x["idf"].cast("float")).alias("idf"),
-        F.transform(F.slice(real, F.lit(1), F.greatest(F.size(real) - must + 1, F.lit(0))), lambda x: x["word"]).alias("prefix"),
-    )
+    w = w.select("id", F.transform("ranked", lambda x: x["word"]).alias("words"), F.transform("ranked", lambda x: x["idf"].cast("float")).alias("idf"))
     return ask.drop("words").join(w, "id")
 
 
 def scored(ask: DataFrame, tell: DataFrame) -> DataFrame:
     """(file, entry, score, ceiling, version_ok, parts_ok, dt, ds) of the candidates that no measurement refutes."""
     ask = store(weighted(ask, tell))
-    pairs = candidates(ask, tell)
-    f = ask.select(
-        F.col("id").alias("file"), F.col("words").alias("fw"), F.col("version").alias("fv"), F.col("parts").alias("fp"), F.col("sec").alias("ft"), F.col("kb").alias("fs"), "idf"
-    )
-    e = tell.select(F.col("id").alias("entry"), F.col("words").alias("ew"), F.col("version").alias("ev"), F.col("parts").alias("ep"), F.col("sec").alias("et"), F.col("kb").alias("es"))
-    met = pairs.join(f, "file").join(e, "entry")
-    dt, ds = F.abs(F.col("ft") - F.col("et")), F.abs(F.log(F.col("fs") / F.col("es")))
-    met = met.withColumn("dt", dt).withColumn("ds", ds)
-    met = met.where((F.col("dt").isNull() | (F.col("dt") <= SECONDS)) & (F.col("ds").isNull() | (F.col("ds") <= math.log1p(SIZE_SHARE))))
+    met = meetings(ask, tell)
     norm = K1 * (1 - B + B * F.size("ew") / 5.0)
     has = lambda w: F.array_contains(F.col("ew"), w)
     bm25 = F.aggregate(F.zip_with("fw", "idf", lambda w, i: F.when(has(w), i.cast("double")).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x) * (K1 + 1) / (1 + norm)
     # The measurements are attributes of the index as well: their rarity is that of a band.
     agree = F.when(F.col("dt").isNotNull(), 5.0 * (1 - F.col("dt") / (2 * SECONDS))).otherwise(0.0) + F.when(F.col("ds").isNotNull(), 4.0 * (1 - F.col("ds") / (2 * SIZE_SHARE))).otherwise(0.0)
     # A misspelt word counts by its likeness to the nearest word that is left, an initial by half.
-    likeness = lambda w, v: F.when(F.length(F.least(w, v)) < 1, 0.0).otherwise(
-        F.when((F.least(F.length(w), F.length(v)) == 1) & (F.substring(w, 1, 1) == F.substring(v, 1, 1)), 0.5).otherwise(1 - F.levenshtein(w, v) / F.greatest(F.length(w), F.length(v)))
-    )
     met = met.withColumn("odd_e", F.array_except("ew", "fw"))
     odd = F.filter(F.zip_with("fw", "idf", lambda w, i: F.struct(w.alias("w"), i.cast("double").alias("i"))), lambda x: ~has(x["w"]))
-    near = F.transform(odd, lambda x: F.struct(x["i"].alias("i"), F.coalesce(F.array_max(F.transform("odd_e", lambda v: likeness(x["w"], v))), F.lit(0.0)).alias("s")))
+    near = F.transform(odd, lambda x: F.struct(x["i"].alias("i"), F.coalesce(F.array_max(F.transform("odd_e", lambda v: _likeness(x["w"], v))), F.lit(0.0)).alias("s")))
     met = met.withColumn("near", F.filter(near, lambda x: (x["s"] >= 0.6) | (x["s"] == 0.5)))
     bm25 = bm25 + F.aggregate("near", F.lit(0.0), lambda a, x: a + x["i"] * x["s"]) * (K1 + 1) / (1 + norm)
     best = F.aggregate("idf", F.lit(0.0), lambda a, x: a + x.cast("double")) * (K1 + 1) / (1 + K1) + 9.0
