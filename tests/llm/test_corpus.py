@@ -83,6 +83,12 @@ def test_packing_keeps_every_token_and_every_limit(spark):
     assert packing.pack(docs.limit(0), limits).count() == 0
 
 
+def test_a_text_that_fits_a_container_is_whole(spark):
+    sizes = spark.createDataFrame([(1, 4001, 3980), (2, 4096, 4096), (3, 4097, 4090)], "doc_id long, tokens int, loss int")
+    got = sorted(tuple(r) for r in packing.split_large(sizes, packing.Limits()).select("doc_id", "piece", "tokens").collect())
+    assert got == [(1, 0, 4001), (2, 0, 4096), (3, 0, 4096), (3, 1, 1)]
+
+
 @vocabulary
 def test_token_counts_match_the_whole_text(spark):
     import base64

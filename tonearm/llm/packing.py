@@ -31,11 +31,14 @@ SHARD_ROWS = 8_000
 
 @dataclass(frozen=True)
 class Limits:
-    """Greatest tokens, segments and loss-bearing tokens of a container."""
+    """Greatest tokens, segments and loss-bearing tokens of a container.
+
+    The loss limit is the capacity unless a lower one is asked for, so a text that fits is never split.
+    """
 
     tokens: int = 4096
     segments: int = 48
-    loss: int = 3968
+    loss: int = 4096
 
 
 def _prompt_end(text: str) -> int:
