@@ -115,6 +115,12 @@ def test_certain_shapes():
     assert got == want
 
 
+def test_certain_shapes_of_any_country():
+    text = "Call +39 02 1234 5678 or 0081 3 1234 5678, mail name at host dot it or x [at] y dot co dot nz or z at w dot co.uk. Dancing at club.The end."
+    got = {(text[a:b], k) for a, b, k in privacy.certain(text)}
+    assert got == {("+39 02 1234 5678", "phone"), ("0081 3 1234 5678", "phone"), ("name at host dot it", "email"), ("x [at] y dot co dot nz", "email"), ("z at w dot co.uk", "email")}
+
+
 def test_personal_details_by_disclosure(spark):
     people = ["Nula Visakap", "Fulo Zorsodob", "Morene R. Tennep", "Zofo Gunbap", "Dada Nebont", "Kosie Rodad"]
     docs, n = [], 0

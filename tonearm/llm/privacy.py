@@ -29,9 +29,12 @@ REACH = 110
 _UP = "".join(chr(c) for c in range(0x250) if chr(c).isupper()) + "Α-ΩΆ-ΏА-Я"
 _CAP = rf"[{_UP}][^\W\d_]+(?:['’-][^\W\d_]+)?"
 _TLD = r"(?:[A-Za-z]{2,12})"
+_ENDING = r"(?:example|invalid|test|com|net|org|info|de|fr|es|uk)\b"
 MAIL = re.compile(
     r"(?<![\w.+-])[\w][\w.+-]*@(?:[A-Za-z0-9-]+\.)+" + _TLD + r"(?![\w@])"
-    r"|(?<![\w.+-])[\w][\w.+-]* ?(?:[\[({] ?at ?[\])}]| at |\(@\)|\[@\]) ?[\w-]+(?: ?(?:[\[({] ?dot ?[\])}]| dot |\.) ?[\w-]+)*? ?(?:[\[({] ?dot ?[\])}]| dot |\.) ?(?:example|invalid|test|com|net|org|info|de|fr|es|uk)\b",
+    r"|(?<![\w.+-])[\w][\w.+-]* ?(?:[\[({] ?at ?[\])}]| at |\(@\)|\[@\]) ?[\w-]+(?: ?(?:[\[({] ?dot ?[\])}]| dot |\.) ?[\w-]+)*? ?"
+    # Any ending behind a spelled dot, else a listed one; an ending that goes on is none.
+    r"(?:(?:[\[({] ?dot ?[\])}]| dot ) ?[A-Za-z]{2,12}\b|\. ?" + _ENDING + r")(?! ?(?:[\[({] ?dot ?[\])}]| dot ) ?[A-Za-z]{2}|\." + _ENDING + ")",
     re.I,
 )
 NUMBER = re.compile(r"\d(?:(?:[ ./-]|\)[ -]?| ?\()?\d){5,16}")
@@ -41,7 +44,7 @@ _AFTER = re.compile(r"(?: ?[A-Z]\b)")
 IDENTITY = re.compile(r"\d{3}-\d\d-\d{4}|\d{3} \d\d \d{4}|[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-D]|[KLMXYZ]\d{7}[A-Z]|\d{8}[A-Z]|[A-Z]\d{8}|\d\d\.\d\d\.\d\d-\d{3}\.\d\d|\d{6}[-+A]\d{3}[0-9A-Z]")
 #: Formats of telephone numbers.
 TELEPHONE = re.compile(
-    r"(?:\+|00)(?:1|33|34|44|49)[ .()-]?(?:\(0\))?[\d .()/-]{7,15}\d|\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}|1?[2-9]\d\d555\d{4}|1[ .-]?\(?[2-9]\d\d\)?[ .-]?\d{3}[ .-]?\d{4}"
+    r"(?:\+|00)[1-9]\d{0,2}[ .()-]?(?:\(0\))?[\d .()/-]{7,15}\d|\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}|1?[2-9]\d\d555\d{4}|1[ .-]?\(?[2-9]\d\d\)?[ .-]?\d{3}[ .-]?\d{4}"
     r"|0\d(?:[ .-]\d\d){4}|0\d{9,10}|\(?0\d{2,4}\)?[ /-]\d{3,5}[ -]?\d{3,5}|44[1-9]\d{9}|33[1-9]\d{8}|49[1-9]\d{8,10}"
 )
 LABELLED = re.compile(r"(?:serial|checksum|sn|isrc|order|invoice|ticket|catalogue|number|ref\.? no)[ :#]*$", re.I)
