@@ -97,3 +97,46 @@ def test_misspelt_words_are_candidates(spark):
     ]
     got = _candidates(spark, (9, "D.J. Sarnelora", "vunisal dirlavamul", "7158", "209.718", None, 0.0), tracks)
     assert got == {(9, 1), (9, 4)}
+
+
+def _random_sources(spark, n=80):
+    import random
+
+    rng = random.Random(5)
+    syllables = ["ka", "lor", "min", "ve"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(3))
+    slip = lambda w: w if rng.random() < 0.7 else w[:2] + rng.choice("xyz") + w[3:]
+    base = [(word(), word(), f"{word()} {word()}", rng.randrange(1000, 1010), 200 + rng.random()) for _ in range(n)]
+    tracks = [(i, f"{a} {b}", t, str(s), f"{sec:.3f}" if i % 9 else None, None, 0.0) for i, (a, b, t, s, sec) in enumerate(base)]
+    files = [(i, f"{slip(a)} {slip(b)}", t if i % 4 else t.title(), str(s + 2) if i % 7 else None, f"{sec + 0.2:.3f}", None, 0.0) for i, (a, b, t, s, sec) in enumerate(base) if i % 3]
+    return crossmatch.describe(spark.createDataFrame(files, REC.format("file_id")), "file_id"), crossmatch.describe(spark.createDataFrame(tracks, REC.format("entry_id")), "entry_id")
+
+
+def test_pruning_changes_no_result(spark):
+    """Against the score of every pair: nothing above the floor is missed, and the nearest of both sides survive the pruning."""
+    from pyspark.sql import functions as F
+
+    f, e = _random_sources(spark)
+    f, e = crossmatch.weighted(crossmatch.same_kept_once(f), e), crossmatch.same_kept_once(e)
+    told = crossmatch.rarity(e)
+    x, y = f.select(F.col("id").alias("file"), F.col("sec").alias("ft"), F.col("kb").alias("fs")), e.select(F.col("id").alias("entry"), F.col("sec").alias("et"), F.col("kb").alias("es"))
+    every = x.crossJoin(y).withColumn("dt", F.abs(F.col("ft") - F.col("et"))).withColumn("ds", F.abs(F.log(F.col("fs") / F.col("es"))))
+    every = every.where("coalesce(dt, 0) <= 1 and coalesce(ds, 0) <= 0.01488 and not (dt is null and ds is null)").select("file", "entry", "dt", "ds")
+    brute = {(r["file"], r["entry"]): r["score"] for r in crossmatch.scored(every, f, e, told).collect()}
+    found = crossmatch.found_pairs(f, e)
+    got = {(r["file"], r["entry"]): r["score"] for r in crossmatch.scored(found, f, e, told).collect()}
+    assert brute.keys() == got.keys() and len(brute) > 60
+    kept = {(r["file"], r["entry"]): r["score"] for r in crossmatch.scored(crossmatch.pruned(found, told, 2), f, e, told).collect()}
+    best = lambda d, side: {k[side]: min((-v, k) for k2, v in d.items() for k in [k2] if k[side] == k0) for k0 in {k[side] for k in d} for k in [(k0, k0)]}
+    assert len(kept) < len(brute)
+    for side in (0, 1):
+        b, k = best(brute, side), best(kept, side)
+        assert {i: round(v[0], 3) for i, v in b.items()} == {i: round(v[0], 3) for i, v in k.items()}
+
+
+def test_copies_are_no_rivals_and_one_file_wins(spark):
+    rec = ("Keiko Gunsesir", "Lafanva Firmandiki", "6536", "369.852", "x.mp3", 0.0)
+    tracks = spark.createDataFrame([(5, *rec), (3, *rec), (4, *rec[:2], "6537", "369.9", "y.mp3", 0.0)], REC.format("entry_id"))
+    files = spark.createDataFrame([(9, *rec), (8, *rec)], REC.format("file_id"))
+    got = crossmatch.library_files(files, tracks).collect()
+    assert [(r["entry_id"], r["file_id"]) for r in got] == [(3, 8)] and got[0]["confidence"] > 0.9

@@ -1,11 +1,13 @@
 """Records of two tables matched without a common key.
 
-An index over the bands of running time and size finds the candidates, because every
-measurement that both sides have must agree; where none is shared, the whole set of words
-must. Words are compared only inside a band: any of them may be misspelt, so no word is
-needed to meet and nothing that could be accepted is pruned. The pairs of a band grow with
-the square of the tables. Candidates are scored by BM25; mutual nearest neighbours stay,
-and a logistic curve fitted to the score gap gives the confidence.
+Cross-table retrieval over an inverted index. The postings of a word are kept in blocks by
+band of running time (of size, where time is missing) and by the part numbers of the title,
+since a pair whose measurements or parts differ is not one recording. A record asks with the
+words without which a pair cannot reach the floor, rarest first, and with the words that are
+one or two slips away from them. Every pair found so has a lower and an upper bound of its
+BM25 score; it is dropped only when the upper bound lies below the K-th best lower bound of
+the file and below the best of the entry. What is left is scored exactly. Mutual nearest
+neighbours stay, and a logistic curve over the score gap gives the confidence.
 """
 
 from __future__ import annotations
@@ -17,16 +19,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonearm.functions.folding import fold
-from tonearm.session import cut, store
+from tonearm.session import store
 
 #: Greatest difference of running time in seconds and of size as a share, of one recording in one version.
 SECONDS, SIZE_SHARE = 1.0, 0.015
-#: Candidate pairs that the calibration is fitted on at most.
+#: Files that the calibration is fitted on, about and at most.
 CALIBRATION_ROWS = 20_000
 K1, B = 1.2, 0.4
+#: Share of the weight of its words that a file must find again in an entry.
+FLOOR = 0.25
+#: Length of the exact lists of nearest entries.
+TOP_K = 8
 ACCEPT = 0.5
-#: Share of the words of the shorter record that must have a counterpart.
-COVER = 0.6
+#: Fits of the curve, and the share of wrong answers above the level from which a best one counts as right.
+FITS, WRONG_SHARE = 4, 0.05
+#: Slips allowed between two words from these lengths on.
+SLIPS = ((4, 1), (7, 2))
 #: Fixed value: version notes that mean the plain version.
 PLAIN_VERSION = "original mix"
 
@@ -70,64 +78,51 @@ def describe(records: DataFrame, id_col: str, stem: Column | None = None) -> Dat
     )
 
 
-def _bands(record: DataFrame, wide: bool) -> DataFrame:
-    """Bands of time and size; ``wide`` adds the neighbouring band that a value within tolerance can fall in."""
-    t, s = 2 * SECONDS, 2 * math.log1p(SIZE_SHARE * 1.02)
+def _bands(value: Column, width: float, wide: bool) -> Column:
+    """The band of a value; ``wide`` gives the two bands that a value within half a width can fall in."""
     off = (-0.5, 0.5) if wide else (0.0,)
-    band = lambda v: F.when(v.isNotNull(), F.array_distinct(F.array(*[F.floor(v + o).cast("int") for o in off])))
-    return record.withColumn("tb", band(F.col("sec") / t)).withColumn("sb", band(F.log("kb") / s))
+    return F.array_distinct(F.array(*[F.floor(value / width + o).cast("int") for o in off]))
 
 
-def _terms(record: DataFrame, asks: bool) -> DataFrame:
-    """The records once for each hashed index term.
+def _slips(w: Column, v: Column) -> Column:
+    """Slips allowed between two words."""
+    longest = F.greatest(F.length(w), F.length(v))
+    return F.when(longest >= SLIPS[1][0], SLIPS[1][1]).when(longest >= SLIPS[0][0], SLIPS[0][1]).otherwise(0)
 
-    Where both sides have time and size, a term holds both bands. Where one side lacks a
-    measurement, the term holds the band of the other; without one in common, the whole set of
-    words. Misspelt words may leave no word in common, so the bands do without words, and a
-    pair within tolerance meets under one term only.
-    """
-    keyed = _bands(record.where(F.size("words") > 0), asks)
-    has_t, has_s = F.col("sec").isNotNull(), F.col("kb").isNotNull()
-    none = F.array().cast("array<bigint>")
-    both = F.flatten(F.transform("tb", lambda t: F.transform("sb", lambda s: F.xxhash64(F.lit(0), t, s))))
-    by = lambda tag, bands: F.transform(bands, lambda b: F.xxhash64(F.lit(tag), b))
-    # Terms 1 and 2 are for a file with time or size alone, 3 and 4 for an entry with time or size alone.
-    full = F.concat(both, by(3, "tb"), by(4, "sb")) if asks else F.concat(both, by(1, "tb"), by(2, "sb"))
-    half = (by(1, "tb"), by(2, "sb")) if asks else (F.concat(by(1, "tb"), by(3, "tb")), F.concat(by(2, "sb"), by(4, "sb")))
-    terms = F.when(has_t & has_s, full).when(has_t, half[0]).when(has_s, half[1]).otherwise(none)
-    bare = F.when((F.size("words") > 1) & ~(has_t & has_s), F.array(F.xxhash64(F.lit(5), F.array_join(F.array_sort("words"), " ")))).otherwise(none)
-    return keyed.withColumn("term", F.explode(F.concat(terms, bare))).drop("tb", "sb")
 
+def likeness(w: Column, v: Column) -> Column:
+    """1 for equal words, less for each slip, 0 beyond the slips allowed."""
+    slips = F.levenshtein(w, v)
+    return F.when(w == v, 1.0).when(slips <= _slips(w, v), 1 - slips / F.greatest(F.length(w), F.length(v))).otherwise(0.0)
 
-def _likeness(w: Column, v: Column) -> Column:
-    """Likeness of two different words, a half for an initial."""
-    initial = (F.least(F.length(w), F.length(v)) == 1) & (F.substring(w, 1, 1) == F.substring(v, 1, 1))
-    return F.when(initial, 0.5).otherwise(1 - F.levenshtein(w, v) / F.greatest(F.length(w), F.length(v)))
 
+def _shortened(word: Column) -> Column:
+    """Hashes of the word and of what is left of it without as many letters as slips are allowed.
 
-def _alike(w: Column, v: Column) -> Column:
-    """Whether two words count for each other at all; the lengths settle most of it."""
-    low, high = F.least(F.length(w), F.length(v)), F.greatest(F.length(w), F.length(v))
-    slips = F.levenshtein(w, v)
-    return ((low == 1) & (F.substring(w, 1, 1) == F.substring(v, 1, 1))) | ((2 * low >= high) & ((5 * slips <= 2 * high) | (2 * slips == high)))
+    Two words within that many slips have one of these in common.
+    """
+    drop = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, 1, i - 1), w.substr(i + 1, F.length(w))))
+    own = F.array(word)
+    # The other word may be one letter longer or shorter and so be allowed more slips.
+    once = F.when(F.length(word) >= SLIPS[0][0] - 1, drop(word)).otherwise(F.array().cast("array<string>"))
+    twice = F.when(F.length(word) >= SLIPS[1][0] - 2, F.flatten(F.transform(once, drop))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.transform(F.concat(own, once, twice), lambda x: F.xxhash64(x)))
 
 
-def meetings(ask: DataFrame, tell: DataFrame) -> DataFrame:
-    """File (file, fw, fv, fp, ft, fs, idf) and entry (entry, ew, ev, ep, et, es) of each pair that no measurement refutes
-    and that has a word or a similar word in common, with dt and ds."""
-    f = _terms(ask, True).select(
-        "term", F.col("id").alias("file"), F.col("words").alias("fw"), F.col("version").alias("fv"), F.col("parts").alias("fp"), F.col("sec").alias("ft"), F.col("kb").alias("fs"), "idf"
-    )
-    e = _terms(tell, False).select("term", F.col("id").alias("entry"), F.col("words").alias("ew"), F.col("version").alias("ev"), F.col("parts").alias("ep"), F.col("sec").alias("et"), F.col("kb").alias("es"))
-    met = f.join(e, "term").withColumn("dt", F.abs(F.col("ft") - F.col("et"))).withColumn("ds", F.abs(F.log(F.col("fs") / F.col("es"))))
-    met = met.where((F.col("dt").isNull() | (F.col("dt") <= SECONDS)) & (F.col("ds").isNull() | (F.col("ds") <= math.log1p(SIZE_SHARE))))
-    similar = F.exists("fw", lambda w: F.exists("ew", lambda v: _alike(w, v)))
-    return met.where(F.arrays_overlap("fw", "ew") | similar).drop("term")
+def alike_words(asked: DataFrame, told: DataFrame) -> DataFrame:
+    """(word, v, like) for each word of ``asked`` (word) and every equal or similar word v of ``told`` (word).
+
+    Words of a vocabulary are compared, not their occurrences.
+    """
+    a = asked.select("word").distinct().withColumn("h", F.explode(_shortened(F.col("word"))))
+    t = told.select(F.col("word").alias("v")).distinct().withColumn("h", F.explode(_shortened(F.col("v"))))
+    met = a.join(t, "h").select("word", "v").distinct()
+    return met.withColumn("like", likeness(F.col("word"), F.col("v")).cast("float")).where("like > 0")
 
 
-def candidates(ask: DataFrame, tell: DataFrame) -> DataFrame:
-    """Distinct (file, entry) that can be scored."""
-    return meetings(ask, tell).select("file", "entry").distinct()
+def same_kept_once(record: DataFrame) -> DataFrame:
+    """Records that say exactly the same are one; the least id stands for them, as it would win the tie."""
+    return record.withColumn("words", F.array_sort("words")).groupBy("words", "version", "parts", "sec", "kb").agg(F.min("id").alias("id"))
 
 
 def weighted(ask: DataFrame, tell: DataFrame) -> DataFrame:
@@ -139,28 +134,122 @@ def weighted(ask: DataFrame, tell: DataFrame) -> DataFrame:
     ranked = F.sort_array(F.collect_list(F.struct(seen.alias("df"), "word", idf.alias("idf"))))
     w = ask.select("id", F.explode("words").alias("word")).join(df, "word", "left").groupBy("id").agg(ranked.alias("ranked"))
     w = w.select("id", F.transform("ranked", lambda x: x["word"]).alias("words"), F.transform("ranked", lambda x: x["idf"].cast("float")).alias("idf"))
-    return ask.drop("words").join(w, "id")
-
-
-def scored(ask: DataFrame, tell: DataFrame) -> DataFrame:
-    """(file, entry, score, ceiling, version_ok, parts_ok, dt, ds) of the candidates that no measurement refutes."""
-    ask = store(weighted(ask, tell))
-    met = meetings(ask, tell)
-    norm = K1 * (1 - B + B * F.size("ew") / 5.0)
-    has = lambda w: F.array_contains(F.col("ew"), w)
-    bm25 = F.aggregate(F.zip_with("fw", "idf", lambda w, i: F.when(has(w), i.cast("double")).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x) * (K1 + 1) / (1 + norm)
-    # The measurements are attributes of the index as well: their rarity is that of a band.
-    agree = F.when(F.col("dt").isNotNull(), 5.0 * (1 - F.col("dt") / (2 * SECONDS))).otherwise(0.0) + F.when(F.col("ds").isNotNull(), 4.0 * (1 - F.col("ds") / (2 * SIZE_SHARE))).otherwise(0.0)
-    # A misspelt word counts by its likeness to the nearest word that is left, an initial by half.
-    met = met.withColumn("odd_e", F.array_except("ew", "fw"))
-    odd = F.filter(F.zip_with("fw", "idf", lambda w, i: F.struct(w.alias("w"), i.cast("double").alias("i"))), lambda x: ~has(x["w"]))
-    near = F.transform(odd, lambda x: F.struct(x["i"].alias("i"), F.coalesce(F.array_max(F.transform("odd_e", lambda v: _likeness(x["w"], v))), F.lit(0.0)).alias("s")))
-    met = met.withColumn("near", F.filter(near, lambda x: (x["s"] >= 0.6) | (x["s"] == 0.5)))
-    bm25 = bm25 + F.aggregate("near", F.lit(0.0), lambda a, x: a + x["i"] * x["s"]) * (K1 + 1) / (1 + norm)
-    best = F.aggregate("idf", F.lit(0.0), lambda a, x: a + x.cast("double")) * (K1 + 1) / (1 + K1) + 9.0
+    w = w.withColumn("total", F.aggregate("idf", F.lit(0.0), lambda a, x: a + x.cast("double")))
+    # The words asked: what the others weigh together stays below the floor.
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("k"))
+    step = lambda a, x: F.when(F.col("total") - a["sum"] >= FLOOR * F.col("total"), F.struct((a["sum"] + x.cast("double")).alias("sum"), (a["k"] + 1).alias("k"))).otherwise(a)
+    w = w.withColumn("must", F.aggregate("idf", start, step))
+    return ask.drop("words").join(w.select("id", "words", "idf", "total", F.col("must.k").alias("asked"), (F.col("total") - F.col("must.sum")).alias("rest")), "id")
+
+
+def version_ok(a: Column, b: Column) -> Column:
+    return (a == b) | ((F.least(F.length(a), F.length(b)) > 6) & (F.levenshtein(a, b) <= 2))
+
+
+def found_pairs(ask: DataFrame, tell: DataFrame) -> DataFrame:
+    """(file, entry, gain, rest, total, n, dt, ds) of every pair of the weighted ``ask`` and ``tell`` that can reach the floor
+    and that nothing refutes.
+
+    gain: weight of the asked words that the entry has, similar ones by their likeness; rest: what
+    the words not asked could add; n: number of words of the entry.
+    """
+    t_width, s_width = 2 * SECONDS, 2 * math.log1p(SIZE_SHARE * 1.02)
+    log_kb = F.log("kb")
+    parts = F.array_join("parts", " ")
+    key = lambda tag, word: lambda band: F.xxhash64(F.lit(tag), word, F.col("part"), band)
+    has_t, has_s = F.col("sec").isNotNull(), F.col("kb").isNotNull()
+    none = F.array().cast("array<bigint>")
+    whole = F.when(~(has_t & has_s) & (F.size("words") > 1), F.xxhash64(F.lit(3), F.array_join(F.array_sort("words"), " "), F.col("part")))
+
+    # Lists: 0 by time, 1 by size for files without time, 2 by size for entries without time, 3 for pairs without a
+    # measurement in common, which must have all words.
+    word = F.col("v")
+    ask = ask.where(F.size("words") > 0).withColumn("part", parts)
+    alike = alike_words(ask.select(F.explode(F.slice("words", 1, F.col("asked"))).alias("word")), tell.select(F.explode("words").alias("word")))
+    thin = ["id", "version", "part", "sec", "kb", "rest", "total"]
+    terms = ask.select(*thin, F.posexplode(F.arrays_zip(F.slice("words", 1, F.col("asked")).alias("word"), F.slice("idf", 1, F.col("asked")).alias("idf"))))
+    terms = terms.select(*thin, F.col("pos").cast("short").alias("pos"), F.col("col.word").alias("word"), F.col("col.idf").alias("idf")).join(alike, "word")
+    lists = F.when(has_t, F.concat(F.transform(_bands(F.col("sec"), t_width, True), key(0, word)), F.when(has_s, F.transform(_bands(log_kb, s_width, False), key(2, word))).otherwise(none)))
+    lists = lists.when(has_s, F.transform(_bands(log_kb, s_width, True), key(1, word))).otherwise(none)
+    a = terms.select("id", "version", "sec", "kb", "rest", "total", "pos", (F.col("idf") * F.col("like")).cast("float").alias("gain"), F.explode(lists).alias("term"))
+    bare = ask.withColumn("term", whole).where("term is not null").select("id", "version", "sec", "kb", F.lit(0.0).alias("rest"), "total", F.lit(-1).cast("short").alias("pos"), F.col("total").cast("float").alias("gain"), "term")
+    a = a.unionByName(bare).select("term", F.col("id").alias("file"), F.col("version").alias("fv"), F.col("sec").cast("float").alias("ft"), F.col("kb").cast("float").alias("fs"), F.col("rest").cast("float").alias("rest"), F.col("total").cast("float").alias("total"), "pos", "gain")
+
+    tell = tell.where(F.size("words") > 0).withColumn("part", parts)
+    held = F.flatten(F.transform("words", lambda w: F.concat(
+        F.when(has_t, F.transform(_bands(F.col("sec"), t_width, False), key(0, w))).otherwise(none),
+        F.when(has_s, F.transform(_bands(log_kb, s_width, False), key(1, w))).otherwise(none),
+        F.when(has_s & ~has_t, F.transform(_bands(log_kb, s_width, True), key(2, w))).otherwise(none),
+    )))
+    held = F.concat(held, F.when(whole.isNotNull(), F.array(whole)).otherwise(none))
+    e = tell.select(F.explode(held).alias("term"), F.col("id").alias("entry"), F.size("words").alias("n"), F.col("version").alias("ev"), F.col("sec").cast("float").alias("et"), F.col("kb").cast("float").alias("es"))
+
+    met = a.join(e, "term").withColumn("dt", F.abs(F.col("ft") - F.col("et"))).withColumn("ds", F.abs(F.log(F.col("fs") / F.col("es"))))
+    met = met.where((F.col("dt").isNull() | (F.col("dt") <= SECONDS)) & (F.col("ds").isNull() | (F.col("ds") <= math.log1p(SIZE_SHARE))))
+    met = met.where(version_ok(F.col("fv"), F.col("ev")) & ((F.col("pos") < 0) == (F.col("dt").isNull() & F.col("ds").isNull())))
+    # A word counts once, by the word of the entry most like it.
+    met = met.repartition("file", "entry").groupBy("file", "entry", "pos").agg(F.max("gain").alias("gain"), *[F.first(c).alias(c) for c in ("rest", "total", "n", "dt", "ds")])
+    met = met.groupBy("file", "entry").agg(F.sum("gain").alias("gain"), *[F.first(c).alias(c) for c in ("rest", "total", "n", "dt", "ds")])
+    return met.where(F.col("gain") + F.col("rest") >= FLOOR * F.col("total") * 0.999)
+
+
+def candidates(ask: DataFrame, tell: DataFrame) -> DataFrame:
+    """Distinct (file, entry) that the index gives."""
+    return found_pairs(ask, tell).select("file", "entry")
+
+
+def rarity(tell: DataFrame) -> tuple[float, float, float]:
+    """Bits (base e) that an equal band of time and of size tells - how seldom two records of the corpus agree in it
+    by chance -, and the average number of words."""
+    def told(value: Column, width: float) -> float:
+        bands = tell.where(value.isNotNull()).groupBy(F.floor(value / width).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+        row = bands.agg(F.sum("n").alias("all"), F.sum(F.col("n").cast("double") ** 2).alias("sq")).first()
+        return math.log((row["all"] + 1) ** 2 / (row["sq"] + 1)) if row["all"] else 0.0
+
+    words = tell.agg(F.avg(F.size("words"))).first()[0]
+    return told(F.col("sec"), 2 * SECONDS), told(F.log("kb"), 2 * math.log1p(SIZE_SHARE)), max(words or 1.0, 1.0)
+
+
+def _agreement(by_time: float, by_size: float) -> Column:
+    """Score of the measurements: the closer, the more."""
+    t = F.when(F.col("dt").isNotNull(), by_time * (1 - F.col("dt") / (2 * SECONDS))).otherwise(0.0)
+    return t + F.when(F.col("ds").isNotNull(), by_size * (1 - F.col("ds") / (2 * math.log1p(SIZE_SHARE)))).otherwise(0.0)
+
+
+def _length_factor(n: Column, average: float) -> Column:
+    return (K1 + 1) / (1 + K1 * (1 - B + B * n / average))
+
+
+def pruned(pairs: DataFrame, told: tuple[float, float, float], k: int = TOP_K) -> DataFrame:
+    """The pairs that can be among the k nearest of their file or the nearest of their entry."""
+    factor, sure = _length_factor(F.col("n"), told[2]), _agreement(*told[:2])
+    bounds = store(pairs.select("file", "entry", "dt", "ds", (F.col("gain") * factor + sure).alias("low"), ((F.col("gain") + F.col("rest")) * factor * 1.0001 + sure).alias("high")))
+    ranked = bounds.select("file", "low", F.row_number().over(Window.partitionBy("file").orderBy(F.desc("low"))).alias("r")).where(F.col("r") <= k)
+    of_file = ranked.groupBy("file").agg(F.min("low").alias("kth"), F.count(F.lit(1)).alias("many")).where(F.col("many") >= k).select("file", "kth")
+    of_entry = bounds.groupBy("entry").agg(F.max("low").alias("top"))
+    kept = bounds.join(of_file, "file", "left").join(of_entry, "entry")
+    return kept.where(F.col("kth").isNull() | (F.col("high") >= F.col("kth")) | (F.col("high") >= F.col("top"))).select("file", "entry", "dt", "ds")
+
+
+def scored(pairs: DataFrame, ask: DataFrame, tell: DataFrame, told: tuple[float, float, float]) -> DataFrame:
+    """(file, entry, said, score, ceiling, share) of pairs (file, entry, dt, ds) that reach the floor.
+
+    said: hash of the words of the entry; ceiling: score of a record that equals the file; share: the greater of the
+    weight of the file's words and the number of the entry's words that are found on the other side.
+    """
+    f = ask.select(F.col("id").alias("file"), F.col("words").alias("fw"), "idf", "total")
+    e = tell.select(F.col("id").alias("entry"), F.col("words").alias("ew"))
+    met = pairs.select("file", "entry", "dt", "ds").join(f, "file").join(e, "entry")
+    best = F.transform("fw", lambda w: F.when(F.array_contains("ew", w), F.lit(1.0)).otherwise(F.array_max(F.transform("ew", lambda v: likeness(w, v)))))
+    met = met.withColumn("like", best)
+    gain = F.aggregate(F.zip_with("like", "idf", lambda s, i: s * i.cast("double")), F.lit(0.0), lambda a, x: a + x)
+    met = met.withColumn("gain", gain).where(F.col("gain") >= FLOOR * F.col("total"))
+    full = F.col("total") * _length_factor(F.size("fw"), told[2])
+    ceiling = full + F.when(F.col("dt").isNotNull(), told[0]).otherwise(0.0) + F.when(F.col("ds").isNotNull(), told[1]).otherwise(0.0)
+    alike = F.aggregate("like", F.lit(0.0), lambda a, x: a + x) / F.size("ew")
     return met.select(
-        "file", "entry", (bm25 + agree).alias("score"), best.alias("ceiling"), ((F.col("fv") == F.col("ev")) | ((F.least(F.length("fv"), F.length("ev")) > 6) & (F.levenshtein("fv", "ev") <= 2))).alias("version_ok"), (F.col("fp") == F.col("ep")).alias("parts_ok"),
-        ((F.size(F.array_intersect("fw", "ew")) + F.aggregate("near", F.lit(0.0), lambda a, x: a + x["s"])) / F.least(F.size("fw"), F.size("ew"))).alias("cover"), "dt", "ds",
+        "file", "entry", F.xxhash64("ew").alias("said"), (F.col("gain") * _length_factor(F.size("ew"), told[2]) + _agreement(*told[:2])).alias("score"),
+        ceiling.alias("ceiling"), F.greatest(F.col("gain") / F.col("total"), F.least(alike, F.lit(1.0))).alias("share"),
     )
 
 
@@ -175,41 +264,64 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+def _calibrate(standing: DataFrame) -> np.ndarray:
+    """Weights of (1, share, gap).
+
+    A file means one recording at most. Its best recording stands for a right answer; the next best, measured as if
+    the best were absent, is known to be wrong. Some best ones are wrong too, so from the second fit on only those
+    count as right that stand above nearly all wrong ones. One right answer without a fault and one wrong one at the
+    floor are added, so the curve exists for any number of rows.
+    """
+    many = standing.count()
+    picked = standing.where(F.pmod(F.xxhash64("file"), F.lit(max(1, -(-many // CALIBRATION_ROWS)))) == 0).select("share", "gap", "next_share", "next_gap").toPandas()
+    wrong = np.r_[picked.dropna(subset=["next_share"])[["next_share", "next_gap"]].to_numpy(float), [[FLOOR, 0.0]]]
+    right = best = np.r_[picked[["share", "gap"]].to_numpy(float), [[1.0, 1 - FLOOR]]]
+    for _ in range(FITS):
+        w = _logistic(np.r_[right, wrong], np.r_[np.ones(len(right)), np.zeros(len(wrong))])
+        right = best[best @ w[1:] >= np.quantile(wrong @ w[1:], 1 - WRONG_SHARE)]
+    return w
+
+
 def match_sources(ask: DataFrame, tell: DataFrame) -> DataFrame:
-    """(file, entry, score, gap, confidence): mutual nearest pairs of the described tables.
+    """(file, entry, score, gap, share, confidence): mutual nearest pairs of the described tables.
 
-    A record has at most one partner on the other side. Ties go to the least id and get the
-    confidence of a gap of zero. Records without words have no partner.
+    A record has at most one partner on the other side. Ties go to the least id. The gap, as a share of the ceiling,
+    is taken to the best entry with other words, at least to the floor: copies of one recording are no rivals.
+    Records without words have no partner.
     """
-    pairs = cut(scored(ask, tell))
-    by_file = Window.partitionBy("file").orderBy(F.desc("ok"), F.desc("score"), "entry")
-    by_entry = Window.partitionBy("entry").orderBy(F.desc("ok"), F.desc("score"), "file")
-    ok = F.col("version_ok") & F.col("parts_ok")
-    top = (
-        pairs.withColumn("ok", ok)
-        .withColumn("rf", F.row_number().over(by_file))
-        .withColumn("nf", F.lead("score").over(by_file))
-        .where("rf <= 1")
-        .withColumn("re", F.row_number().over(by_entry))
-        .where("re = 1 and ok")
+    tell = store(same_kept_once(tell))
+    ask = store(weighted(same_kept_once(ask), tell))
+    told = rarity(tell)
+    pairs = store(scored(pruned(found_pairs(ask, tell), told), ask, tell, told))
+    # Both sides are ranked over all pairs before any of them is dropped.
+    of_file = pairs.groupBy("file").agg(F.min(F.struct((-F.col("score")).alias("s"), "entry", "said", "share", "ceiling")).alias("b")).select("file", "b.*")
+    of_entry = pairs.groupBy("entry").agg(F.min(F.struct((-F.col("score")).alias("s"), "file")).alias("b")).select("entry", F.col("b.file").alias("file"))
+    # The three best recordings of each file, copies taken as one.
+    told_by = pairs.groupBy("file", "said").agg(F.max("score").alias("score"), F.max("share").alias("share"))
+    w = Window.partitionBy("file").orderBy(F.desc("score"), "said")
+    told_by = told_by.withColumn("r", F.row_number().over(w)).where("r <= 3").groupBy("file").agg(
+        *[F.max(F.when(F.col("r") == r, F.col("score"))).alias(f"s{r}") for r in (1, 2, 3)], F.max(F.when(F.col("r") == 2, F.col("share"))).alias("next_share")
     )
-    top = top.withColumn("share", F.col("score") / F.col("ceiling")).withColumn("gap", (F.col("score") - F.coalesce("nf", F.lit(0.0))) / F.col("ceiling"))
-    top = cut(top.select("file", "entry", "score", "share", "gap", "cover", "dt", "ds"))
-    # Labels without a hand: pairs whose words and measurements all agree, against pairs of one word.
-    seen = top.select("share", "gap", "cover", "dt", "ds").orderBy(F.xxhash64("file", "entry")).limit(CALIBRATION_ROWS).toPandas()
-    sure = (seen["cover"] >= 0.999) & seen["dt"].notna() & seen["ds"].notna()
-    wrong = seen["cover"] <= 0.34
-    if sure.sum() >= 20 and wrong.sum() >= 20:
-        part = seen[sure | wrong]
-        w = _logistic(part[["share", "gap", "cover"]].to_numpy(float), sure[sure | wrong].to_numpy(float))
-    else:
-        w = np.array([-9.0, 6.0, 2.0, 8.0])
-    z = F.lit(float(w[0])) + F.col("share") * float(w[1]) + F.col("gap") * float(w[2]) + F.col("cover") * float(w[3])
-    return top.select("file", "entry", "score", "gap", "cover", (1 / (1 + F.exp(-z))).alias("confidence"))
+    floor = F.col("ceiling") * FLOOR
+    standing = of_file.join(told_by, "file").select(
+        "file", "entry", (-F.col("s")).alias("score"), "share", ((F.col("s1") - F.greatest(F.coalesce("s2", floor), floor)) / F.col("ceiling")).alias("gap"),
+        "next_share", ((F.col("s2") - F.greatest(F.coalesce("s3", floor), floor)) / F.col("ceiling")).alias("next_gap"),
+    )
+    standing = store(standing)
+    c = [float(x) for x in _calibrate(standing)]
+    z = c[0] + c[1] * F.col("share") + c[2] * F.col("gap")
+    return standing.join(of_entry, ["file", "entry"]).select("file", "entry", "score", "gap", "share", (1 / (1 + F.exp(-z))).alias("confidence"))
+
+
+def _stem(file_name: str) -> Column:
+    """A file name without its ending; nothing where it is a number of a ripper."""
+    return F.regexp_replace(F.regexp_replace(file_name, r"(\.stem)?\.[A-Za-z0-9]{1,5}$", ""), r"^(rip[0-9a-f]{6,}|AUD-\d+)$", "")
 
 
 def library_files(disk_files: DataFrame, tracks: DataFrame) -> DataFrame:
-    """(entry_id, file_id, score, confidence) of the files that are a recording of tracks."""
-    stem = F.regexp_replace(F.regexp_replace("file_name", r"(\.stem)?\.[A-Za-z0-9]{1,5}$", ""), r"^(rip[0-9a-f]{6,}|AUD-\d+)$", "")
-    found = match_sources(describe(disk_files, "file_id", stem), store(describe(tracks, "entry_id")))
-    return found.where((F.col("confidence") >= ACCEPT) & (F.col("cover") >= COVER)).select(F.col("entry").alias("entry_id"), F.col("file").alias("file_id"), "score", "confidence")
+    """(entry_id, file_id, score, confidence) of the files that are a recording of tracks.
+
+    Null and empty tags give way to the file name; a row without any word has no partner. Empty tables give no rows.
+    """
+    found = match_sources(describe(disk_files, "file_id", _stem("file_name")), describe(tracks, "entry_id"))
+    return found.where(F.col("confidence") >= ACCEPT).select(F.col("entry").alias("entry_id"), F.col("file").alias("file_id"), "score", "confidence")
