@@ -1,8 +1,7 @@
 """Records of two tables matched without a common key.
 
-Cross-table retrieval over an inverted index. The postings of a word are kept in blocks by
-band of running time (of size, where time is missing) and by the part numbers of the title,
-since a pair whose measurements or parts differ is not one recording. A record asks with the
+Cross-table retrieval over an inverted index. The postings of a word are kept in blocks of
+running time and by the part numbers of the title, since a pair whose measurements or parts differ is not one recording. A record asks with the
 words without which a pair cannot reach the floor, rarest first, and with the words that are
 one or two slips away from them. Every pair found so has a lower and an upper bound of its
 BM25 score; it is dropped only when the upper bound lies below the K-th best lower bound of
@@ -33,6 +32,8 @@ TOP_K = 8
 ACCEPT = 0.5
 #: Fits of the curve, and the share of wrong answers above the level from which a best one counts as right.
 FITS, WRONG_SHARE = 4, 0.05
+#: Width of the blocks of running time in a posting list, in the logarithm of the seconds.
+TIME_BLOCK = 0.15
 #: Slips allowed between two words from these lengths on.
 SLIPS = ((4, 1), (7, 2))
 #: Fixed value: version notes that mean the plain version.
@@ -78,16 +79,10 @@ def describe(records: DataFrame, id_col: str, stem: Column | None = None) -> Dat
     )
 
 
-def _bands(value: Column, width: float, wide: bool) -> Column:
-    """The band of a value; ``wide`` gives the two bands that a value within half a width can fall in."""
-    off = (-0.5, 0.5) if wide else (0.0,)
-    return F.array_distinct(F.array(*[F.floor(value / width + o).cast("int") for o in off]))
-
-
 def _slips(w: Column, v: Column) -> Column:
     """Slips allowed between two words."""
-    longest = F.greatest(F.length(w), F.length(v))
-    return F.when(longest >= SLIPS[1][0], SLIPS[1][1]).when(longest >= SLIPS[0][0], SLIPS[0][1]).otherwise(0)
+    shortest = F.least(F.length(w), F.length(v))
+    return F.when(shortest >= SLIPS[1][0], SLIPS[1][1]).when(shortest >= SLIPS[0][0], SLIPS[0][1]).otherwise(0)
 
 
 def likeness(w: Column, v: Column) -> Column:
@@ -102,11 +97,10 @@ def _shortened(word: Column) -> Column:
     Two words within that many slips have one of these in common.
     """
     drop = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, 1, i - 1), w.substr(i + 1, F.length(w))))
-    own = F.array(word)
-    # The other word may be one letter longer or shorter and so be allowed more slips.
-    once = F.when(F.length(word) >= SLIPS[0][0] - 1, drop(word)).otherwise(F.array().cast("array<string>"))
-    twice = F.when(F.length(word) >= SLIPS[1][0] - 2, F.flatten(F.transform(once, drop))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.transform(F.concat(own, once, twice), lambda x: F.xxhash64(x)))
+    none = F.array().cast("array<string>")
+    once = F.when(F.length(word) >= SLIPS[0][0], drop(word)).otherwise(none)
+    twice = F.when(F.length(word) >= SLIPS[1][0], F.flatten(F.transform(once, drop))).otherwise(none)
+    return F.array_distinct(F.transform(F.concat(F.array(word), once, twice), lambda x: F.xxhash64(x)))
 
 
 def alike_words(asked: DataFrame, told: DataFrame) -> DataFrame:
@@ -122,24 +116,35 @@ def alike_words(asked: DataFrame, told: DataFrame) -> DataFrame:
 
 def same_kept_once(record: DataFrame) -> DataFrame:
     """Records that say exactly the same are one; the least id stands for them, as it would win the tie."""
-    return record.withColumn("words", F.array_sort("words")).groupBy("words", "version", "parts", "sec", "kb").agg(F.min("id").alias("id"))
+    said = [F.array_sort("words"), F.col("version"), F.col("parts"), F.col("sec"), F.col("kb")]
+    record = record.withColumn("h1", F.xxhash64(*said)).withColumn("h2", F.xxhash64(F.lit("second"), *said))
+    # Written, so its size is known: where few records repeat, the others are not moved.
+    twice = store(record.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "least"))
+    return record.join(twice, ["h1", "h2"], "left").where("least is null or id = least").drop("h1", "h2", "least")
 
 
 def weighted(ask: DataFrame, tell: DataFrame) -> DataFrame:
-    """``ask`` with its words from rare to frequent in ``tell`` and their idf."""
+    """``ask`` with its words from rare to frequent in ``tell``, their idf and their similar words.
+
+    total: weight of all words; asked: number of words to ask with, so that what the others weigh together (rest) stays
+    below the floor; alike: hash and likeness of the other words of ``tell`` that are similar to each word asked.
+    """
     count = tell.count()
-    df = tell.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    df = store(tell.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df")))
+    pairs = ask.select("id", F.explode("words").alias("word"))
+    alike = alike_words(pairs, df).where("word <> v").groupBy("word").agg(F.collect_list(F.struct(F.xxhash64("v").alias("v"), "like")).alias("alike"))
     seen = F.coalesce("df", F.lit(0))
     idf = F.log(1 + (count - seen + 0.5) / (seen + 0.5))
-    ranked = F.sort_array(F.collect_list(F.struct(seen.alias("df"), "word", idf.alias("idf"))))
-    w = ask.select("id", F.explode("words").alias("word")).join(df, "word", "left").groupBy("id").agg(ranked.alias("ranked"))
-    w = w.select("id", F.transform("ranked", lambda x: x["word"]).alias("words"), F.transform("ranked", lambda x: x["idf"].cast("float")).alias("idf"))
+    ranked = F.sort_array(F.collect_list(F.struct(seen.alias("df"), "word", idf.alias("idf"), F.coalesce("alike", F.array().cast("array<struct<v:bigint,like:float>>")).alias("alike"))))
+    lexicon = store(pairs.select("word").distinct().join(df, "word", "left").join(alike, "word", "left"))
+    w = pairs.join(lexicon, "word").groupBy("id").agg(ranked.alias("ranked"))
+    w = w.select("id", F.transform("ranked", lambda x: x["word"]).alias("words"), F.transform("ranked", lambda x: x["idf"].cast("float")).alias("idf"), F.transform("ranked", lambda x: x["alike"]).alias("alike"))
     w = w.withColumn("total", F.aggregate("idf", F.lit(0.0), lambda a, x: a + x.cast("double")))
-    # The words asked: what the others weigh together stays below the floor.
     start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("k"))
     step = lambda a, x: F.when(F.col("total") - a["sum"] >= FLOOR * F.col("total"), F.struct((a["sum"] + x.cast("double")).alias("sum"), (a["k"] + 1).alias("k"))).otherwise(a)
     w = w.withColumn("must", F.aggregate("idf", start, step))
-    return ask.drop("words").join(w.select("id", "words", "idf", "total", F.col("must.k").alias("asked"), (F.col("total") - F.col("must.sum")).alias("rest")), "id")
+    w = w.select("id", "words", "idf", "total", F.col("must.k").alias("asked"), (F.col("total") - F.col("must.sum")).alias("rest"), F.slice("alike", 1, F.col("must.k")).alias("alike"))
+    return ask.drop("words").join(w, "id")
 
 
 def version_ok(a: Column, b: Column) -> Column:
@@ -153,43 +158,47 @@ def found_pairs(ask: DataFrame, tell: DataFrame) -> DataFrame:
     gain: weight of the asked words that the entry has, similar ones by their likeness; rest: what
     the words not asked could add; n: number of words of the entry.
     """
-    t_width, s_width = 2 * SECONDS, 2 * math.log1p(SIZE_SHARE * 1.02)
-    log_kb = F.log("kb")
-    parts = F.array_join("parts", " ")
-    key = lambda tag, word: lambda band: F.xxhash64(F.lit(tag), word, F.col("part"), band)
+    time = lambda shift: F.floor(F.log1p(F.greatest(F.col("sec") + shift, F.lit(0.0))) / TIME_BLOCK).cast("int")
+    key = lambda word, block: F.xxhash64(word, F.col("part"), block)
+    # Times below 1e12 seconds have under 200 blocks; a record without a time stands in every block there is. Block -1
+    # is for times that no entry has.
+    present = sorted(r[0] for r in tell.where("sec is not null").select(time(0.0)).distinct().collect())
+    every = F.array(*[F.lit(b) for b in [-1, *present]])
     has_t, has_s = F.col("sec").isNotNull(), F.col("kb").isNotNull()
-    none = F.array().cast("array<bigint>")
-    whole = F.when(~(has_t & has_s) & (F.size("words") > 1), F.xxhash64(F.lit(3), F.array_join(F.array_sort("words"), " "), F.col("part")))
-
-    # Lists: 0 by time, 1 by size for files without time, 2 by size for entries without time, 3 for pairs without a
-    # measurement in common, which must have all words.
-    word = F.col("v")
-    ask = ask.where(F.size("words") > 0).withColumn("part", parts)
-    alike = alike_words(ask.select(F.explode(F.slice("words", 1, F.col("asked"))).alias("word")), tell.select(F.explode("words").alias("word")))
-    thin = ["id", "version", "part", "sec", "kb", "rest", "total"]
-    terms = ask.select(*thin, F.posexplode(F.arrays_zip(F.slice("words", 1, F.col("asked")).alias("word"), F.slice("idf", 1, F.col("asked")).alias("idf"))))
-    terms = terms.select(*thin, F.col("pos").cast("short").alias("pos"), F.col("col.word").alias("word"), F.col("col.idf").alias("idf")).join(alike, "word")
-    lists = F.when(has_t, F.concat(F.transform(_bands(F.col("sec"), t_width, True), key(0, word)), F.when(has_s, F.transform(_bands(log_kb, s_width, False), key(2, word))).otherwise(none)))
-    lists = lists.when(has_s, F.transform(_bands(log_kb, s_width, True), key(1, word))).otherwise(none)
-    a = terms.select("id", "version", "sec", "kb", "rest", "total", "pos", (F.col("idf") * F.col("like")).cast("float").alias("gain"), F.explode(lists).alias("term"))
-    bare = ask.withColumn("term", whole).where("term is not null").select("id", "version", "sec", "kb", F.lit(0.0).alias("rest"), "total", F.lit(-1).cast("short").alias("pos"), F.col("total").cast("float").alias("gain"), "term")
-    a = a.unionByName(bare).select("term", F.col("id").alias("file"), F.col("version").alias("fv"), F.col("sec").cast("float").alias("ft"), F.col("kb").cast("float").alias("fs"), F.col("rest").cast("float").alias("rest"), F.col("total").cast("float").alias("total"), "pos", "gain")
-
-    tell = tell.where(F.size("words") > 0).withColumn("part", parts)
-    held = F.flatten(F.transform("words", lambda w: F.concat(
-        F.when(has_t, F.transform(_bands(F.col("sec"), t_width, False), key(0, w))).otherwise(none),
-        F.when(has_s, F.transform(_bands(log_kb, s_width, False), key(1, w))).otherwise(none),
-        F.when(has_s & ~has_t, F.transform(_bands(log_kb, s_width, True), key(2, w))).otherwise(none),
-    )))
-    held = F.concat(held, F.when(whole.isNotNull(), F.array(whole)).otherwise(none))
-    e = tell.select(F.explode(held).alias("term"), F.col("id").alias("entry"), F.size("words").alias("n"), F.col("version").alias("ev"), F.col("sec").cast("float").alias("et"), F.col("kb").cast("float").alias("es"))
-
-    met = a.join(e, "term").withColumn("dt", F.abs(F.col("ft") - F.col("et"))).withColumn("ds", F.abs(F.log(F.col("fs") / F.col("es"))))
-    met = met.where((F.col("dt").isNull() | (F.col("dt") <= SECONDS)) & (F.col("ds").isNull() | (F.col("ds") <= math.log1p(SIZE_SHARE))))
+    # Where nothing measured can be compared, all words must be the same: a list of its own.
+    whole = F.when(~(has_t & has_s) & (F.size("words") > 1), F.xxhash64(F.lit("whole"), F.array_join(F.array_sort("words"), " "), F.col("part")))
+    part = F.array_join("parts", " ")
+
+    ask = ask.where(F.size("words") > 0).withColumn("part", part)
+    # The time of a file may be a second off: it asks in each block this can reach.
+    blocks = F.when(has_t, F.array_distinct(F.transform(F.sequence(time(-SECONDS), time(SECONDS)), lambda b: F.when(F.array_contains(every, b), b).otherwise(-1)))).otherwise(every)
+    asks = lambda i, v, like: F.struct(i.cast("short").alias("pos"), v.alias("v"), (F.element_at("idf", i) * like).cast("float").alias("gain"))
+    words = F.transform(
+        F.sequence(F.lit(1), F.col("asked")),
+        lambda i: F.concat(F.array(asks(i, F.xxhash64(F.element_at("words", i)), F.lit(1.0))), F.transform(F.element_at("alike", i), lambda x: asks(i, x["v"], x["like"]))),
+    )
+    a = ask.withColumn("whole", whole).withColumn("w", F.explode(F.flatten(words))).withColumn("block", F.explode(blocks))
+    row = ["id", "version", F.col("sec").cast("float").alias("ft"), F.col("kb").cast("float").alias("fs")]
+    a = a.select(key(F.col("w.v"), F.col("block")).alias("term"), *row, "w.pos", "w.gain")
+    bare = ask.withColumn("term", whole).where("term is not null").select("term", *row, F.lit(-1).cast("short").alias("pos"), F.col("total").cast("float").alias("gain"))
+    a = a.unionByName(bare).withColumnsRenamed({"id": "file", "version": "fv"})
+
+    tell = tell.where(F.size("words") > 0).withColumn("part", part).withColumn("whole", whole)
+    stands = F.when(has_t, F.array(time(0.0))).otherwise(every)
+    held = F.flatten(F.transform("words", lambda w: F.transform(stands, lambda b: key(F.xxhash64(w), b))))
+    e = tell.select(
+        F.explode(F.concat(held, F.when(F.col("whole").isNotNull(), F.array("whole")).otherwise(F.array().cast("array<bigint>")))).alias("term"),
+        F.col("id").alias("entry"), F.size("words").cast("short").alias("n"), F.col("version").alias("ev"), F.col("sec").cast("float").alias("et"), F.col("kb").cast("float").alias("es"),
+    )
+
+    met = a.join(e, "term").withColumn("dt", F.abs(F.col("ft") - F.col("et"))).withColumn("ds", F.abs(F.log(F.col("fs") / F.col("es"))).cast("float"))
+    # The measurements travel rounded; the exact ones are looked at when the pair is scored.
+    met = met.where((F.col("dt").isNull() | (F.col("dt") <= SECONDS + 1e-6 * F.col("ft"))) & (F.col("ds").isNull() | (F.col("ds") <= math.log1p(SIZE_SHARE) + 1e-6)))
     met = met.where(version_ok(F.col("fv"), F.col("ev")) & ((F.col("pos") < 0) == (F.col("dt").isNull() & F.col("ds").isNull())))
     # A word counts once, by the word of the entry most like it.
-    met = met.repartition("file", "entry").groupBy("file", "entry", "pos").agg(F.max("gain").alias("gain"), *[F.first(c).alias(c) for c in ("rest", "total", "n", "dt", "ds")])
-    met = met.groupBy("file", "entry").agg(F.sum("gain").alias("gain"), *[F.first(c).alias(c) for c in ("rest", "total", "n", "dt", "ds")])
+    met = met.select("file", "entry", "pos", "gain", "n", "dt", "ds").repartition("file").groupBy("file", "entry", "pos").agg(F.max("gain").alias("gain"), *[F.first(c).alias(c) for c in ("n", "dt", "ds")])
+    met = met.groupBy("file", "entry").agg(F.sum("gain").alias("gain"), *[F.first(c).alias(c) for c in ("n", "dt", "ds")])
+    met = met.join(ask.select(F.col("id").alias("file"), "rest", "total"), "file")
     return met.where(F.col("gain") + F.col("rest") >= FLOOR * F.col("total") * 0.999)
 
 
@@ -223,23 +232,25 @@ def _length_factor(n: Column, average: float) -> Column:
 def pruned(pairs: DataFrame, told: tuple[float, float, float], k: int = TOP_K) -> DataFrame:
     """The pairs that can be among the k nearest of their file or the nearest of their entry."""
     factor, sure = _length_factor(F.col("n"), told[2]), _agreement(*told[:2])
-    bounds = store(pairs.select("file", "entry", "dt", "ds", (F.col("gain") * factor + sure).alias("low"), ((F.col("gain") + F.col("rest")) * factor * 1.0001 + sure).alias("high")))
+    bounds = store(pairs.select("file", "entry", "dt", "ds", (F.col("gain") * factor + sure).alias("low"), ((F.col("gain") + F.col("rest")) * factor * 1.0001 + sure + 0.001).alias("high")))
     ranked = bounds.select("file", "low", F.row_number().over(Window.partitionBy("file").orderBy(F.desc("low"))).alias("r")).where(F.col("r") <= k)
     of_file = ranked.groupBy("file").agg(F.min("low").alias("kth"), F.count(F.lit(1)).alias("many")).where(F.col("many") >= k).select("file", "kth")
     of_entry = bounds.groupBy("entry").agg(F.max("low").alias("top"))
     kept = bounds.join(of_file, "file", "left").join(of_entry, "entry")
-    return kept.where(F.col("kth").isNull() | (F.col("high") >= F.col("kth")) | (F.col("high") >= F.col("top"))).select("file", "entry", "dt", "ds")
+    return kept.where(F.col("kth").isNull() | (F.col("high") >= F.col("kth")) | (F.col("high") >= F.col("top"))).select("file", "entry")
 
 
 def scored(pairs: DataFrame, ask: DataFrame, tell: DataFrame, told: tuple[float, float, float]) -> DataFrame:
-    """(file, entry, said, score, ceiling, share) of pairs (file, entry, dt, ds) that reach the floor.
+    """(file, entry, said, score, ceiling, share) of pairs (file, entry) that nothing refutes and that reach the floor.
 
     said: hash of the words of the entry; ceiling: score of a record that equals the file; share: the greater of the
     weight of the file's words and the number of the entry's words that are found on the other side.
     """
-    f = ask.select(F.col("id").alias("file"), F.col("words").alias("fw"), "idf", "total")
-    e = tell.select(F.col("id").alias("entry"), F.col("words").alias("ew"))
-    met = pairs.select("file", "entry", "dt", "ds").join(f, "file").join(e, "entry")
+    f = ask.select(F.col("id").alias("file"), F.col("words").alias("fw"), "idf", "total", F.col("sec").alias("ft"), F.col("kb").alias("fs"))
+    e = tell.select(F.col("id").alias("entry"), F.col("words").alias("ew"), F.col("sec").alias("et"), F.col("kb").alias("es"))
+    met = pairs.select("file", "entry").join(e, "entry").join(f, "file")
+    met = met.withColumn("dt", F.abs(F.col("ft") - F.col("et"))).withColumn("ds", F.abs(F.log(F.col("fs") / F.col("es"))))
+    met = met.where((F.col("dt").isNull() | (F.col("dt") <= SECONDS)) & (F.col("ds").isNull() | (F.col("ds") <= math.log1p(SIZE_SHARE))))
     best = F.transform("fw", lambda w: F.when(F.array_contains("ew", w), F.lit(1.0)).otherwise(F.array_max(F.transform("ew", lambda v: likeness(w, v)))))
     met = met.withColumn("like", best)
     gain = F.aggregate(F.zip_with("like", "idf", lambda s, i: s * i.cast("double")), F.lit(0.0), lambda a, x: a + x)
@@ -289,8 +300,8 @@ def match_sources(ask: DataFrame, tell: DataFrame) -> DataFrame:
     is taken to the best entry with other words, at least to the floor: copies of one recording are no rivals.
     Records without words have no partner.
     """
-    tell = store(same_kept_once(tell))
-    ask = store(weighted(same_kept_once(ask), tell))
+    tell = store(same_kept_once(store(tell)))
+    ask = store(weighted(same_kept_once(store(ask)), tell))
     told = rarity(tell)
     pairs = store(scored(pruned(found_pairs(ask, tell), told), ask, tell, told))
     # Both sides are ranked over all pairs before any of them is dropped.
