@@ -68,3 +68,20 @@ def test_lookalike_cells(spark):
 def test_canonical_member_of_a_class(spark):
     values = spark.createDataFrame([("Café",), ("Café",), ("Café​",), ("Cafe",), (None,)], "value string")
     assert rows(lookalikes.canonical_values(values)) == [("Café", "Café"), ("Café​", "Café")]
+
+
+def test_classes_of_the_corpus_decide(spark):
+    """The corpus holds a clean member of the class: it wins over the alphabet that most letters of the word have."""
+    word = "\u0421\u043ep"
+    values = lambda *texts: spark.createDataFrame([(t,) for t in texts], "value string")
+    assert rows(lookalikes.canonical_values(values(word))) == [(word, "\u0421\u043e\u0440")]
+    assert rows(lookalikes.canonical_values(values(word, "Cop", "Cop", "\u0421\u043e\u0440"))) == [(word, "Cop")]
+    # Without a clean member the class takes one form for all its spellings.
+    twins = ["\u0421op x", "\u0421\u043ep x", "\u0421op\u200b x", "\u0421op x"]
+    assert {c for _, c in rows(lookalikes.canonical_values(values(*twins)))} == {"Cop x"}
+
+
+def test_mapping_is_done_in_sql(spark):
+    """Width, spaces and hyphens by the tables; accents and invisible characters by the collation."""
+    got = dict(rows(lookalikes.canonical_values(spark.createDataFrame([("\uff24\uff4a\u3000A",), ("Dj A",), ("x\u2011y",), ("Vu\ufb01r",), ("Part \u2161",), ("e\u0301\u00adt",), ("\u00e9t",)], "value string"))))
+    assert got == {"\uff24\uff4a\u3000A": "Dj A", "x\u2011y": "x-y", "Vu\ufb01r": "Vufir", "Part \u2161": "Part II", "e\u0301\u00adt": "\u00e9t"}

@@ -1,9 +1,12 @@
 """Text that only looks like its plain form, brought to one consistent form.
 
-Values with a suspicious character are mapped (width, spaces, hyphens, invisible
-characters, composition, one alphabet within a word). Mapped and plain values are grouped
-in SQL under the accent-sensitive Unicode collation, one member of each class is chosen by
-a fixed order and joined back to the cells.
+A value with a suspicious character is mapped by tables in SQL: ordinary width, spaces and
+hyphens, and, where a word mixes alphabets, look-alike letters to one shape. Mapped values
+are grouped under the accent-sensitive Unicode collation, which takes composed and combining
+accents and invisible characters as equal. The canonical member of a class is, of all clean
+values of the corpus in it, the most frequent one (then the first by code points); a class
+without a clean member takes the form that most of its cells would get if each were put right
+by itself. It is joined back to the cells.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tonearm.llm import mojibake
-from tonearm.session import cut
+from tonearm.session import cut, store
 
 #: Letters of other alphabets and the Latin letters they look like.
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХҮԌԚԜаеѕіјорсухһԁԛԝӏ", "ABESIJKMHOPCTYXYGQWaesijopcyxhdqwl", strict=True))
@@ -95,31 +98,64 @@ def suspicious(value: Column) -> Column:
     return F.coalesce(value.rlike(SUSPICIOUS), F.lit(False))
 
 
-def canonical_values(values: DataFrame) -> DataFrame:
+def _single(pairs: dict[str, str]) -> tuple[str, str]:
+    """Arguments of translate for the characters that have one counterpart or none; those without one come last."""
+    kept = {k: v for k, v in pairs.items() if len(v) == 1}
+    return "".join(kept) + "".join(k for k, v in pairs.items() if not v), "".join(kept.values())
+
+
+_WIDTH = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in [*range(0xFF01, 0xFFE7), *(c for low, high in COMPOUND for c in range(low, high + 1))]}
+_SPACES = {chr(c): " " for c in range(0x3001) if unicodedata.category(chr(c)) == "Zs" and c != 32}
+_PLAIN = {**{k: v for k, v in _WIDTH.items() if v != k}, **_SPACES, **{h: "-" for h in HYPHENS}, **{b: "" for b in BLANKS}, **LATIN_ALWAYS}
+_SHAPES = {**CYRILLIC, **GREEK, **LATIN}
+MIXED = r"\p{IsLatin}[\p{IsCyrillic}\p{IsGreek}]|[\p{IsCyrillic}\p{IsGreek}]\p{IsLatin}|\p{IsCyrillic}\p{IsGreek}|\p{IsGreek}\p{IsCyrillic}"
+
+
+def _plain(value: Column) -> Column:
+    """Ordinary width, spaces and hyphens; private and blank characters are gone."""
+    for many, few in _PLAIN.items():
+        if len(few) > 1:
+            value = F.replace(value, F.lit(many), F.lit(few))
+    return F.regexp_replace(F.translate(value, *_single(_PLAIN)), r"[\p{Co}\x{FE00}-\x{FE0F}]", "")
+
+
+def shape(value: Column) -> Column:
+    """Letters of all alphabets drawn alike as one letter."""
+    return F.translate(value, *_single(_SHAPES))
+
+
+#: Classes and their canonical members. members: (kind, form, text, clean, n), asked: (value, kind, form).
+CLASSES = """
+    WITH texts AS (
+           SELECT kind, form COLLATE UNICODE AS class, text, bool_or(clean) AS clean, sum(n) AS n
+           FROM {members} GROUP BY kind, form COLLATE UNICODE, text),
+         classes AS (SELECT kind, class, min(struct(NOT clean, -n, text)).text AS canonical FROM texts GROUP BY kind, class)
+    SELECT a.value, c.canonical FROM {asked} a JOIN classes c ON a.kind = c.kind AND a.form COLLATE UNICODE = c.class
+"""
+
+
+def canonical_values(values: DataFrame, odd: DataFrame | None = None) -> DataFrame:
     """(value, canonical) of the distinct suspicious texts of ``values`` (value).
 
-    canonical is the member of the text's class that comes first: plain members before
-    mapped ones, then by code points. Null and empty texts belong to no class.
+    ``odd`` are its suspicious rows, if they are known already. Null and empty texts belong to no class.
     """
     spark = values.sparkSession
-    distinct = values.where("value is not null").distinct().withColumn("odd", suspicious(F.col("value")))
-    mapped = distinct.where("odd").withColumn("form", consistent_udf("value"))
-    mapped = cut(mapped)
-    # Plain members of these classes: under the collation only control characters are ignored.
-    plain = distinct.where("not odd").withColumn("form", F.col("value"))
-    wanted = mapped.select(F.col("form").alias("wanted")).distinct()
-    plain = plain.join(wanted, F.regexp_replace("form", r"\p{Cc}", "") == F.col("wanted"), "left_semi")
-    mapped.createOrReplaceTempView("tonearm_mapped")
-    plain.createOrReplaceTempView("tonearm_plain")
-    return spark.sql(
-        """
-        WITH members AS (SELECT form, true AS odd FROM tonearm_mapped UNION ALL SELECT form, false AS odd FROM tonearm_plain),
-             classes AS (
-               SELECT form COLLATE UNICODE AS class, min(struct(odd, form)).form AS canonical
-               FROM members GROUP BY form COLLATE UNICODE HAVING bool_or(odd))
-        SELECT m.value, c.canonical FROM tonearm_mapped m JOIN classes c ON m.form COLLATE UNICODE = c.class
-        """
-    )
+    odd = values.where(suspicious(F.col("value"))) if odd is None else odd
+    seen = odd.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    plain = _plain(F.col("value"))
+    # Words that mix alphabets stand in a class by shape; all else keeps its letters.
+    mixed = F.regexp_replace(plain, r"[\p{M}\p{Cf}]", "").rlike(MIXED)
+    asked = seen.select("value", "n", plain.alias("plain"), F.when(mixed, "shape").otherwise("letters").alias("kind"), consistent_udf("value").alias("own"))
+    asked = cut(asked.select("value", "n", "kind", "own", F.when(F.col("kind") == "shape", shape(F.col("plain"))).otherwise(F.col("plain")).alias("form")))
+    # Clean values of the corpus in these classes; the hashes only thin out what is compared.
+    key = lambda kind, text: F.xxhash64(kind, F.when(kind == "shape", shape(text)).otherwise(text))
+    wanted = store(asked.select(key(F.col("kind"), F.col("own")).alias("h")).distinct())
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), key(F.lit(k), F.col("value")).alias("h")) for k in ("letters", "shape")]))
+    clean = values.where("value is not null").select("value", kinds.alias("k")).select("value", "k.kind", "k.h").join(wanted, "h", "left_semi")
+    clean = clean.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n")).where(~suspicious(F.col("value")))
+    clean = clean.select("kind", F.when(F.col("kind") == "shape", shape(F.col("value"))).otherwise(F.col("value")).alias("form"), F.col("value").alias("text"), F.lit(True).alias("clean"), "n")
+    members = asked.select("kind", "form", F.col("own").alias("text"), (F.col("own") == F.col("value")).alias("clean"), "n").unionByName(clean)
+    return spark.sql(CLASSES, members=members, asked=asked.select("value", "kind", "form"))
 
 
 def changed_cells(records: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
@@ -127,8 +163,8 @@ def changed_cells(records: DataFrame, id_col: str, fields: list[str]) -> DataFra
     cells = records.select(
         id_col, F.inline(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in fields]))
     )
-    canon = canonical_values(cells.select("value")).where("canonical <> value")
-    return cells.where(suspicious(F.col("value"))).join(canon, "value")
+    odd = store(cells.where(suspicious(F.col("value"))))
+    return odd.join(canonical_values(cells.select("value"), odd.select("value")).where("canonical <> value"), "value")
 
 
 def library_lookalikes(tracks: DataFrame, artists: DataFrame) -> DataFrame:
