@@ -91,6 +91,15 @@ def garbled_forms(words: pd.Series) -> pd.Series:
     return words.map(one)
 
 
+#: Rows that one task of a table of forms writes, about.
+FORM_ROWS = 60_000
+
+
+def spread(rows: DataFrame, growth: int) -> DataFrame:
+    """Written ``rows`` dealt out by what they grow to: a short list that becomes a long table is no work for one task."""
+    return rows.repartition(max(1, -(-rows.count() * growth // FORM_ROWS)))
+
+
 def tokens(text: Column) -> Column:
     """The tokens of a text that hold a character beyond ASCII, repeats once; null gives none."""
     return F.array_distinct(F.coalesce(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>")))
@@ -152,7 +161,7 @@ def garbled_tokens(texts: DataFrame, words: DataFrame) -> DataFrame:
     have the same garbled form and none is clearly meant. Null and empty texts have no tokens.
     """
     spark = texts.sparkSession
-    words = cut(words)
+    words = spread(cut(words), len(CHAINS))
     unknown = (
         texts.where(F.col("text").rlike(r"[^\x00-\x7f]"))
         .select(F.explode(tokens(F.col("text"))).alias("token"))
@@ -164,11 +173,15 @@ def garbled_tokens(texts: DataFrame, words: DataFrame) -> DataFrame:
     unknown = unknown.where(~(skeleton.rlike(r"^[\x00-\x7f]*$") & F.col("token").rlike("[A-Za-z]")))
     unknown = cut(unknown.join(words.select(F.col("word").alias("plain")), (skeleton == F.col("plain")) & (skeleton != F.col("token")), "left_anti"))
     forms = words.select("word", F.inline(garbled_forms("word")))
+    # Chains stand in the order of how common they are. A word is clearly meant if no other has the form under the
+    # commonest chain that gives it; where bytes were lost, under any chain.
     by_word = (
         unknown.join(forms, unknown.token == forms.form)
+        .groupBy("token", "chain")
+        .agg(F.min("word").alias("word"), F.max("word").alias("other"))
         .groupBy("token")
-        .agg(F.min(F.struct("chain", "word")).alias("best"), F.count_distinct("word").alias("n"))
-        .select("token", F.when(~F.col("token").contains(LOST) | (F.col("n") == 1), F.col("best.word")).alias("original"))
+        .agg(F.min(F.struct("chain", "word", "other")).alias("best"), F.min("word").alias("low"), F.max("other").alias("high"))
+        .select("token", F.when((F.col("best.word") == F.col("best.other")) & (~F.col("token").contains(LOST) | (F.col("low") == F.col("high"))), F.col("best.word")).alias("original"))
     )
     by_word = cut(by_word)
     # The alphabet of the clean words: its size is bounded by Unicode, not by the data.
@@ -182,7 +195,7 @@ def garbled_tokens(texts: DataFrame, words: DataFrame) -> DataFrame:
                 if g > "\x7f" and g not in alphabet:
                     telling.setdefault(g, ch)
     explain = _explain(alphabet, telling)
-    rest = unknown.join(by_word.select("token"), "token", "left_anti")
+    rest = cut(unknown.join(by_word.select("token"), "token", "left_anti"))
     by_char = rest.mapInPandas(explain, "token string, original string") if not rest.isEmpty() else spark.createDataFrame([], "token string, original string")
     return by_word.unionByName(by_char)
 
