@@ -49,6 +49,17 @@ def test_alignment_counts_words_in_order():
     assert leakage.aligned(p, list("jihgfedcba")) == 1
 
 
+def test_banded_alignment_equals_the_whole_one():
+    rng = random.Random(7)
+    for _ in range(60):
+        p = [rng.choice(WORDS) for _ in range(rng.randrange(1, 70))]
+        copy = [w if rng.random() > 0.15 else rng.choice(WORDS) for w in p if rng.random() > 0.05]
+        before = [rng.choice(WORDS) for _ in range(rng.randrange(0, 40))]
+        text = before + copy + [rng.choice(WORDS) for _ in range(rng.randrange(0, 40))]
+        assert abs(leakage.aligned(p, text, len(before), 20) - leakage.aligned(p, text)) <= 0
+    assert leakage.aligned(list("abc"), [], 5, 2) == 0 and leakage.aligned(list("abc"), list("abc"), -50, 3) == 0
+
+
 vocabulary = pytest.mark.skipif(not os.path.exists(packing.VOCABULARY), reason="no vocabulary file")
 
 

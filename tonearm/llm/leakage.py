@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Length of a q-gram, width of a diagonal band, and positions hashed at a time.
 Q, BAND, BLOCK = 11, 128, 1 << 20
@@ -108,32 +109,46 @@ def build_index(items: list[tuple[int, str]], table: np.ndarray) -> dict:
         span = len(" ".join(w)) * need / max(len(w), 1)
         per_word = span / max(need, 1)
         least.append(max(3, int(span - Q + 1 - CHANGED * need * (per_word + Q - 1))))
-    return {"ids": [i for i, _ in items], "grams": g[order], "owner": np.concatenate(owner)[order] if grams else g, "place": np.concatenate(place)[order] if grams else g, "bitmap": bitmap, "least": np.array(least or [0]), "words": words}
+    return {"ids": [i for i, _ in items], "grams": g[order], "owner": np.concatenate(owner)[order] if grams else g, "place": np.concatenate(place)[order] if grams else g, "bitmap": bitmap, "least": np.array(least or [0]), "words": words, "starts": [np.cumsum([0, *(len(w) + 1 for w in ws)]) for ws in words]}
 
 
-def aligned(passage: list[str], text: list[str]) -> int:
-    """Words of the passage matched by the best local alignment (match 1, change, gap or addition -1)."""
+def aligned(passage: list[str], text: list[str], diagonal: int = 0, width: int | None = None) -> int:
+    """Words of the passage matched by the best local alignment (match 1, change, gap or addition -1).
+
+    Only text words within ``width`` of the place that the diagonal gives each word of the passage are looked at;
+    without a width, all of them.
+    """
     ids = {w: i for i, w in enumerate(dict.fromkeys(passage))}
     p, t = np.array([ids[w] for w in passage]), np.array([ids.get(w, -1) for w in text])
     m, n = len(p), len(t)
-    score = np.zeros((m + 1, n + 1), np.int32)
-    steps = np.arange(n + 1, dtype=np.int32)
+    if width is None:
+        diagonal, width = 0, m + n
+    # Cell (i, k) stands for word i of the passage and word i + low + k of the text.
+    low, band = diagonal - width, 2 * width + 1
+    padded = np.full(m + band + max(0, low) + max(n, 0) + abs(low) + 2, -1)
+    shift = max(0, -low)
+    padded[shift : shift + n] = t
+    score = np.zeros((m + 1, band), np.int32)
+    steps = np.arange(band, dtype=np.int32)
     for i in range(1, m + 1):
-        row = np.zeros(n + 1, np.int32)
-        row[1:] = np.maximum(score[i - 1, :-1] + np.where(t == p[i - 1], 1, -1), score[i - 1, 1:] - 1)
+        at = i - 1 + low + shift
+        row = score[i - 1] + np.where(padded[at : at + band] == p[i - 1], 1, -1)
+        row[:-1] = np.maximum(row[:-1], score[i - 1, 1:] - 1)
         np.maximum(row, 0, out=row)
         score[i] = np.maximum.accumulate(row + steps) - steps
-    i, j = np.unravel_index(int(score.argmax()), score.shape)
+    i, k = np.unravel_index(int(score.argmax()), score.shape)
     hits = 0
-    while i > 0 and j > 0 and score[i, j] > 0:
-        same = t[j - 1] == p[i - 1]
-        if score[i, j] == score[i - 1, j - 1] + (1 if same else -1):
+    while i > 0 and score[i, k] > 0:
+        same = padded[i - 1 + low + shift + k] == p[i - 1]
+        if score[i, k] == score[i - 1, k] + (1 if same else -1):
             hits += int(same)
-            i, j = i - 1, j - 1
-        elif score[i, j] == score[i - 1, j] - 1:
             i -= 1
+        elif k + 1 < band and score[i, k] == score[i - 1, k + 1] - 1:
+            i, k = i - 1, k + 1
         else:
-            j -= 1
+            k -= 1
+        if k < 0:
+            break
     return hits
 
 
@@ -164,7 +179,7 @@ def search(texts: list[str], index: dict, table: np.ndarray) -> list[tuple[int,
     pos, item, place, doc = pos[enough], item[enough], place[enough], doc[enough]
     diagonal = pos - cuts[doc] - place + (1 << 20)
     out: dict[tuple[int, int], int] = {}
-    tried: set[tuple[int, int, int]] = set()
+    tried: set[tuple[int, int, int, int]] = set()
     for shift in (0, BAND // 2):
         band = (diagonal + shift) // BAND
         # A place of the passage counts once in a band.
@@ -174,12 +189,17 @@ def search(texts: list[str], index: dict, table: np.ndarray) -> list[tuple[int,
             if count < index["least"][k]:
                 continue
             start = cuts[d] + 1 + b * BAND - shift - (1 << 20)
-            places = cell[f : f + count, 3]
+            places = np.sort(cell[f : f + count, 3])
             a, z = max(cuts[d] + 1, start + int(places.min()) - 2 * BAND), min(cuts[d + 1], start + int(places.max()) + Q + 3 * BAND)
-            if (d, k, a) in tried or a >= z:
+            if (d, k, a, z) in tried or a >= z:
                 continue
-            tried.add((d, k, a))
-            hits = aligned(index["words"][k], _words(chars[a:z]))
+            tried.add((d, k, a, z))
+            words = index["words"][k]
+            # The middle of the hits, as a word of the passage and of the region, is the diagonal of the alignment.
+            middle = int(places[len(places) // 2])
+            per_word = index["starts"][k][-1] / len(words)
+            level = int(np.count_nonzero(chars[a : max(a, start + middle + BAND // 2)] == 32)) - int(np.searchsorted(index["starts"][k], middle, "right") - 1)
+            hits = aligned(words, _words(chars[a:z]), level, int(BAND / per_word) + int(CHANGED * len(words)) + 2)
             if hits >= SHARE * len(index["words"][k]):
                 out[d, k] = max(hits, out.get((d, k), 0))
     return [(d, k, n) for (d, k), n in out.items()]
@@ -194,22 +214,19 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     """
     spark = documents.sparkSession
     schema = f"{doc_id} bigint, {item_id} bigint, matched_words int"
-    rows = [(r[0], r[1]) for r in items.select(item_id, passage).where(f"trim({passage}) <> ''").orderBy(item_id).toLocalIterator()]
-    groups: list[list[tuple[int, str]]] = []
-    room = 0
-    for row in rows:
-        if room < len(row[1]) or not groups:
-            groups.append([])
-            room = PASS_CHARS
-        groups[-1].append(row)
-        room -= len(row[1])
+    asked = items.select(item_id, passage).where(f"trim({passage}) <> ''")
+    size = asked.agg(F.sum(F.length(passage))).first()[0] or 0
+    groups = -(-size // PASS_CHARS)
+    letters = spark.sparkContext.broadcast(_letters())
     held = documents.select(doc_id, text).where(f"{text} is not null")
     out = spark.createDataFrame([], schema)
-    for group in groups:
+    for g in range(groups):
+        # One group of passages at a time is in the driver.
+        group = [(r[0], r[1]) for r in asked.where(F.pmod(F.xxhash64(item_id), F.lit(groups)) == g).orderBy(item_id).collect()]
         sent = spark.sparkContext.broadcast(group)
 
         def scan(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            table = _letters()
+            table = letters.value
             index = build_index(sent.value, table)
             for pdf in batches:
                 ids, texts = pdf.iloc[:, 0].tolist(), pdf.iloc[:, 1].tolist()
