@@ -152,3 +152,19 @@ def test_personal_details_by_disclosure(spark):
     clean = {r["doc_id"]: r["text"] for r in privacy.sanitised(d, a).collect()}
     assert clean[1] == "The set was long. Account holder: [PERSON_NAME]; mail: [EMAIL]; that is all." and clean[901] is None and len(clean) == len(docs)
     assert privacy.personal_details(d.limit(0), a).count() == 0
+
+
+def test_bare_numbers_are_judged_by_what_leads_to_them(spark):
+    """The same ten digits are a telephone behind a word that leads to formatted numbers, and an order's behind one that does not."""
+    docs = [f"Call ({200 + i}) 555-01{i:02d} before noon." for i in range(20)] + [f"Pack order {2124480000 + i} first." for i in range(20)]
+    docs += ["Please call 2124481234 today.", "Look at order 2124489876 again.", "Mail anna at posteo dot ch, or 7182345678.", "anna at posteo [dot] at"]
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {(k, t) for i, k, t in rows(privacy.personal_details(d, spark.createDataFrame([], "artist_name string"))) if i >= 40}
+    assert got == {("phone", "2124481234"), ("email", "anna at posteo dot ch"), ("phone", "7182345678"), ("email", "anna at posteo [dot] at")}
+
+
+def test_placeholders_stand_at_the_place_of_the_piece(spark):
+    text = "Mail ann@x.example today. The joann@x.example.org list and xann@x.examples are others; ann@x.example, again."
+    d = spark.createDataFrame([(1, text), (1, "nothing"), (2, None)], "doc_id long, text string")
+    got = rows(privacy.sanitised(d, spark.createDataFrame([], "artist_name string")))
+    assert got == [(1, "Mail [EMAIL] today. The [EMAIL] list and [EMAIL] are others; [EMAIL], again."), (1, "nothing"), (2, None)]
