@@ -1,19 +1,22 @@
 """Variant spellings of names typed by people, linked to a list of known names.
 
-Each known name is written in every canonical way that the rules allow (nickname, initial,
-abbreviated or dropped legal form and title, token order, joined words) and each form also
-with one character left out. Typed names get the same treatment, the forms meet in an
-equi-join, and a candidate is scored by its rules and by how many known names share the form.
+Each known name is written in every canonical way that the rules and their combinations allow
+(nickname or formal name, initial, abbreviated or dropped legal form and title, token order,
+joined words), typed names lose their title or initial likewise, and each form also stands with
+one character left out. The forms meet in an equi-join. A candidate is scored by the rarity of
+the rewriting that explains it: how seldom the rule is used in the corpus, how many known names
+share the form, and how often the known name occurs; the best one must lead by odds of three.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,8 +47,20 @@ TITLES = {"dj", "mc", "dr", "lady"}
 LOOSE = {"the", "and", "vs", "with", "feat", "ft", "und"}
 LETTERS = str.maketrans({"ø": "o", "đ": "d", "ł": "l", "æ": "ae", "œ": "oe", "ð": "d", "þ": "th", "ħ": "h", "ŧ": "t"})
 SHAPES = str.maketrans(*mojibake.LOOKALIKES)
-#: Cost of each rule; the cheapest explanation of a typed name wins.
-COSTS = {"fold": 0, "joined": 1, "nickname": 1, "initial": 2, "bare": 2, "typo": 3}
+#: Bits by which the best candidate must lead: odds of three.
+LEAD = math.log2(3)
+
+
+def formal_names(nicknames: dict[str, list[str]]) -> dict[str, list[str]]:
+    """Nickname -> the formal names it stands for."""
+    out: dict[str, list[str]] = {}
+    for formal, nicks in nicknames.items():
+        for nick in nicks:
+            out.setdefault(nick, []).append(formal)
+    return out
+
+
+FORMAL = formal_names(NICKNAMES)
 
 
 def fold(text: str) -> list[str]:
@@ -62,22 +77,39 @@ def _key(words: list[str]) -> str:
     return " ".join(sorted(words))
 
 
+def _core(words: list[str]) -> list[str]:
+    return [w for w in words if w not in LOOSE] or words
+
+
+def _bare(core: list[str]) -> list[str] | None:
+    """The name without its title or legal form; None where it has none or is nothing else."""
+    if len(core) > 1 and core[0] in TITLES:
+        return core[1:]
+    rest = [w for w in core if w not in KIND_WORDS]
+    return rest if 0 < len(rest) < len(core) else None
+
+
 def typed_forms(name: str) -> list[tuple[str, str]]:
-    """(form, rule) under which a typed name is looked up."""
+    """(form, rule) under which a typed name is looked up; a rule other than fold or joined meets only names as they are listed."""
     words = fold(name)
-    core = [w for w in words if w not in LOOSE] or words
+    core = _core(words)
     if not core:
         return []
     out = {_key(core): "fold"}
     if len(words) == 1:
         out.setdefault("=" + words[0], "joined")
+    bare = _bare(core)
+    if bare:
+        out.setdefault(_key(bare), "untitled")
+    elif len(core) > 1 and len(core[0]) > 1:
+        out.setdefault(_key([core[0][0], *core[1:]]), "shortened")
     return list(out.items())
 
 
 def known_forms(name: str) -> list[tuple[str, str]]:
-    """(form, rule) of every way in which the rules write a known name."""
+    """(form, rule) of every way in which the rules, alone and together, write a known name; the simplest rule of a form stays."""
     words = fold(name)
-    core = [w for w in words if w not in LOOSE] or words
+    core = _core(words)
     if not core:
         return []
     out = {_key(core): "fold"}
@@ -85,22 +117,30 @@ def known_forms(name: str) -> list[tuple[str, str]]:
         for all_of_them in (words, core):
             out.setdefault("=" + "".join(all_of_them), "joined")
     joint = bool(re.search(r"[&/+]|\b(and|und|vs)\b", name.casefold()))
-    kind = [w for w in core if w in KIND_WORDS]
-    if len(core) > 1 and core[0] in TITLES:
-        out.setdefault(_key(core[1:]), "bare")
-    elif kind and len(core) > len(kind):
-        out.setdefault(_key([w for w in core if w not in KIND_WORDS]), "bare")
-    elif len(core) > 1 and not joint:
-        for nick in NICKNAMES.get(core[0], []):
-            out.setdefault(_key([nick, *core[1:]]), "nickname")
-        out.setdefault(_key([core[0][0], *core[1:]]), "initial")
+    bare = _bare(core)
+    for part, dropped in ((core, ""), (bare, "bare")):
+        if not part:
+            continue
+        if dropped:
+            out.setdefault(_key(part), dropped)
+        # A title stands before the given name; what is joint or has a legal form has none.
+        at = 1 if part[0] in TITLES else 0
+        if joint or len(part) - at < 2 or any(w in KIND_WORDS for w in core):
+            continue
+        given, rest = part[at], part[at + 1 :]
+        others = [(n, "nickname") for n in [*NICKNAMES.get(given, []), *FORMAL.get(given, [])]]
+        others += [(n, "nickname+nickname") for f in FORMAL.get(given, []) for n in NICKNAMES[f]]
+        for other, rule in [*others, (given[0], "initial")]:
+            rule = "+".join(r for r in (dropped, rule) if r)
+            out.setdefault(_key([*part[:at], other, *rest]), rule)
+            if len(other) > 1:
+                out.setdefault("=" + "".join([*part[:at], other, *rest]), rule + "+joined")
     return list(out.items())
 
 
 def _near(form: str, rule: str) -> list[str]:
     """The form and, where a slip of the keyboard may be looked for, every form with one character left out."""
-    letters = len(form.replace(" ", ""))
-    if rule == "bare" or letters < 6:
+    if len(form.replace(" ", "")) < 6 or rule in ("untitled", "shortened"):
         return [form]
     return list(dict.fromkeys([form, *(form[:i] + form[i + 1 :] for i in range(len(form)))]))
 
@@ -119,6 +159,10 @@ def one_slip(a: str, b: str) -> bool:
 _FORM = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("near", "form", "rule")]))
 
 
+#: Forms of a name with those that lack a character, about.
+FORMS_PER_NAME = 200
+
+
 def _forms_udf(make):
     @F.pandas_udf(_FORM)
     def forms(names: pd.Series) -> pd.Series:
@@ -131,36 +175,49 @@ def link_names(typed: DataFrame, known: DataFrame, known_id: str, known_name: st
     """(name, known_id, rule, confidence) for each distinct typed name that means a known one.
 
     ``typed`` has (name, n): a typed name and how often it occurs; both null-free. Names
-    equal to a known name are left out. The cheapest rule wins; where known names tie, the
-    one that occurs at least three times as often in ``typed`` wins, else the name stays
-    unlinked. confidence falls with the cost of the rule and with the number of known names
-    that share the form.
+    equal to a known name are left out. Each candidate has bits: minus the rarity of its rule
+    among the names that only one known name explains, minus that of a form which several known
+    names share, plus the logarithm of how often the known name occurs in ``typed``. The best
+    wins if it leads by odds of three, else the name stays unlinked. confidence is its share of
+    the odds of all candidates.
     """
     exact = known.select(F.col(known_name).alias("name"), F.col(known_id).alias("id")).where("name is not null and id is not null")
-    lists = exact.select("id", F.col("name").alias("listed"), F.inline(_forms_udf(known_forms)("name")))
+    written = mojibake.spread(cut(exact.distinct()), FORMS_PER_NAME)
+    lists = written.select("id", F.col("name").alias("listed"), F.inline(_forms_udf(known_forms)("name")))
     rarity = lists.where("near = form").groupBy("form").agg(F.count_distinct("id").alias("shared"))
-    lists = lists.join(rarity, "form").select("id", "listed", "near", F.col("form").alias("known_form"), F.col("rule").alias("known_rule"), "shared")
-    asked = typed.join(exact, "name", "left_anti").select("name", F.inline(_forms_udf(typed_forms)("name")))
+    lists = lists.join(rarity, "form").select("id", "near", F.col("form").alias("known_form"), F.col("rule").alias("known_rule"), "shared")
+    open_names = cut(typed.join(exact, "name", "left_anti").select("name"))
+    asked = mojibake.spread(open_names, FORMS_PER_NAME).select("name", F.inline(_forms_udf(typed_forms)("name")))
     met = asked.join(lists, "near").select("name", "form", "rule", "id", "known_form", "known_rule", "shared").distinct()
 
     @F.pandas_udf(T.BooleanType())
     def slip(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([one_slip(x, y) for x, y in zip(a, b, strict=True)])
 
-    # A word joined up is compared with joined forms only.
-    met = met.where((F.col("rule") == "joined") == (F.col("known_rule") == "joined"))
+    # A word joined up is compared with joined forms only; what is left out on one side must not be left out on the other.
+    met = met.where((F.col("rule") == "joined") == F.col("known_rule").endswith("joined"))
+    met = met.where(F.col("rule").isin("fold", "joined") | (F.col("known_rule") == "fold"))
     same = F.col("form") == F.col("known_form")
     met = met.where(same | slip("form", "known_form"))
-    cost = F.element_at(F.create_map(*[F.lit(x) for kv in COSTS.items() for x in kv]), F.col("known_rule")) + F.when(same, 0).otherwise(COSTS["typo"])
+    used = F.concat_ws("+", F.when(~F.col("rule").isin("fold", "joined"), F.col("rule")), "known_rule", F.when(~same, F.lit("typo")))
+    met = cut(met.select("name", "id", used.alias("rule"), "shared").distinct())
+
+    # How often each rule is used, seen on the names with one candidate; the number of rules is fixed.
+    alone = met.groupBy("name").agg(F.count_distinct("id").alias("ids"), F.min(F.struct(F.size(F.split("rule", r"\+")).alias("n"), "rule")).alias("r")).where("ids = 1")
+    uses = alone.groupBy(F.col("r.rule").alias("rule")).agg(F.count(F.lit(1)).alias("uses"))
+    rules = met.select("rule").distinct().join(uses, "rule", "left")
+    every = rules.agg(F.sum(F.coalesce("uses", F.lit(0)) + 1)).first()[0] or 1
+    rules = rules.select("rule", F.log2((F.coalesce("uses", F.lit(0)) + 1) / F.lit(float(every))).alias("told"))
     counts = typed.join(exact, "name").groupBy("id").agg(F.sum("n").alias("seen"))
-    best = met.groupBy("name", "id").agg(F.min(F.struct(cost.alias("cost"), "shared", "known_rule", same.alias("same"))).alias("b"))
-    best = best.join(counts, "id", "left").select("name", "id", "b.*", F.coalesce("seen", F.lit(0)).alias("seen"))
-    w = Window.partitionBy("name").orderBy("cost", F.desc("seen"), "id")
-    ranked = best.withColumn("r", F.row_number().over(w)).withColumn("next_cost", F.lead("cost").over(w)).withColumn("next_seen", F.lead("seen").over(w))
-    clear = F.col("next_cost").isNull() | (F.col("next_cost") > F.col("cost")) | (F.col("seen") >= 3 * F.greatest(F.col("next_seen"), F.lit(1)))
-    rule = F.concat("known_rule", F.when(F.col("same"), "").otherwise("+typo"))
-    return ranked.where((F.col("r") == 1) & clear).select(
-        "name", F.col("id").alias(known_id), rule.alias("rule"), F.round(F.exp(-0.25 * F.col("cost")) / F.col("shared"), 4).alias("confidence")
+    found = met.join(rules, "rule").withColumn("bits", F.col("told") - F.log2("shared"))
+    best = found.groupBy("name", "id").agg(F.max(F.struct("bits", "rule")).alias("b")).join(counts, "id", "left")
+    best = best.select("name", "id", F.col("b.rule").alias("rule"), (F.col("b.bits") + F.log2(F.coalesce("seen", F.lit(0)) + 1)).alias("bits"))
+    w = Window.partitionBy("name").orderBy(F.desc("bits"), "id")
+    ranked = best.withColumn("r", F.row_number().over(w)).withColumn("next", F.lead("bits").over(w))
+    odds = best.groupBy("name").agg(F.max("bits").alias("top"), F.sum(F.pow(F.lit(2.0), F.col("bits"))).alias("odds"))
+    clear = F.col("next").isNull() | (F.col("bits") - F.col("next") >= LEAD - 1e-9)
+    return ranked.where((F.col("r") == 1) & clear).join(odds, "name").select(
+        "name", F.col("id").alias(known_id), "rule", F.round(F.pow(F.lit(2.0), F.col("bits")) / F.col("odds"), 4).alias("confidence")
     )
 
 
