@@ -95,9 +95,13 @@ STARTERS = {
 #: Forms of address, which are no part of a name.
 ADDRESS_FORMS = {"mr", "mrs", "ms", "miss", "dr", "herr", "frau", "monsieur", "madame", "señor", "señora", "sr", "sra", "mme", "don", "doña", "prof"}
 
+HEADS = ADDRESS_FORMS | STARTERS
+
 
 def fold(text: str) -> list[str]:
-    text = "".join(ch for ch in unicodedata.normalize("NFD", text) if not unicodedata.combining(ch)).lower()
+    if not text.isascii():
+        text = "".join(ch for ch in unicodedata.normalize("NFD", text) if not unicodedata.combining(ch))
+    text = text.lower()
     return [w for w in re.findall(r"[^\W_]+", text) if w != "the"]
 
 
@@ -153,8 +157,10 @@ _LEAD = re.compile(r"[^\W\d_]+|[^\w\s]")
 
 def _cue(text: str, a: int, b: int) -> str:
     """The two words before and the word or mark after a piece, digits as 0."""
-    before = text[max(0, a - 40) : a].rsplit("\n", 1)[-1]
-    ends = [m.end() for m in _SENTENCE_END.finditer(before)]
+    before = text[max(0, a - 40) : a]
+    if "\n" in before:
+        before = before[before.rfind("\n") + 1 :]
+    ends = [m.end() for m in _SENTENCE_END.finditer(before)] if "." in before or ">" in before or "!" in before or "?" in before or ";" in before else None
     left = ["^", *(before[ends[-1] :] if ends else before).split()] if ends or len(before) < min(40, a) or a < 40 else before.split()
     after = text[b : b + 24].split("\n", 1)[0]
     right = after[:1] if after[:1] != " " else after.split(" ", 2)[1].rstrip(".,;:")
@@ -165,12 +171,12 @@ _SENTENCE_END = re.compile(r"[^\W_]{2}[.!?;>] +|> *")
 _DIGITS = str.maketrans("123456789", "000000000")
 
 
-def pieces(text: str, known: dict[str, tuple[str, ...]]) -> list[tuple[int, int, str, str, str, tuple[str, ...], bool, str]]:
+def pieces(text: str, known: dict[str, str]) -> list[tuple[int, int, str, str, str, str, bool, str]]:
     """(start, end, kind, piece, cue, words, beside a protected entity, what follows a street beside it) of all candidates of a text."""
     # A number without any sign or space may be another's than a telephone.
     numbers = [(a, b, "bare" if k == "phone" and text[a:b].isdigit() else k) for a, b, k in certain(text)]
     sure = [x for x in numbers if x[2] != "bare"]
-    out = [(a, b, k, text[a:b], _lead(text, a) if k == "phone" else "", (), True, "") for a, b, k in sure]
+    out = [(a, b, k, text[a:b], _lead(text, a) if k == "phone" else "", "", True, "") for a, b, k in sure]
     streets = [m.span() for marks, pattern in STREETS if any(k in text for k in marks) for m in pattern.finditer(text)]
     spots = sorted([(a, b) for a, b, _ in sure])
 
@@ -187,21 +193,25 @@ def pieces(text: str, known: dict[str, tuple[str, ...]]) -> list[tuple[int, int,
 
     for a, b, k in numbers:
         if k == "bare":
-            out.append((a, b, k, text[a:b], _lead(text, a), (), beside(a, b, spots), ""))
+            out.append((a, b, k, text[a:b], _lead(text, a), "", beside(a, b, spots), ""))
     lanes = []
     for a, b in streets:
         if not any(x < b and a < y for x, y in spots):
             cue = _cue(text, a, b)
             lanes.append((a, b, cue.rsplit("|", 1)[1]))
-            own = tuple(w for w in fold(text[a:b]) if w.isalpha() and len(w) > 2 and w not in STREET_WORDS)
+            own = " ".join(w for w in fold(text[a:b]) if w.isalpha() and len(w) > 2 and w not in STREET_WORDS)
             out.append((a, b, "street_address", text[a:b], cue, own, beside(a, b, spots), ""))
     taken = sorted([(a, b) for a, b, _ in numbers] + streets)
+    at = 0
     for m in NAME.finditer(text):
         a, b = m.span()
+        # Names come from left to right: what ends before this one is done with.
+        while at < len(taken) and taken[at][1] <= a:
+            at += 1
         name = m.group()
         while True:
             head, _, rest = name.partition(" ")
-            if rest and (head.rstrip(".,").lower() in ADDRESS_FORMS or head.rstrip(",").lower() in STARTERS):
+            if rest and head.rstrip(".,").lower() in HEADS:
                 a, name = a + len(head) + 1, rest
             else:
                 break
@@ -210,13 +220,13 @@ def pieces(text: str, known: dict[str, tuple[str, ...]]) -> list[tuple[int, int,
             again = NAME.match(text, a)
             if again:
                 b, name = again.end(), again.group()
-        if " " not in name or any(x < b and a < y for x, y in taken):
+        if " " not in name or (at < len(taken) and any(x < b and a < y for x, y in taken[at:])):
             continue
         words = known.get(name)
         if words is None:
             words = tuple(fold(name))
             plain = len([w for w in name.split(" ") if not w.endswith(".")]) > 2
-            words = known[name] = () if plain or name.isupper() or words[-1] in STARTERS else words
+            words = known[name] = "" if plain or name.isupper() or words[-1] in STARTERS else " ".join(words)
         if words:
             lane = next((f for x, y, f in lanes if beside(a, b, [(x, y)])), "") if lanes else ""
             out.append((a, b, "person_name", name, _cue(text, a, b), words, bool(spots) and beside(a, b, spots), lane))
@@ -233,15 +243,15 @@ def candidates(documents: DataFrame, artists: DataFrame) -> DataFrame:
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            known: dict[str, tuple[str, ...]] = {}
+            known: dict[str, str] = {}
             rows = [(i, *p) for i, t in zip(pdf["doc_id"], pdf["text"], strict=True) for p in dict.fromkeys(x[2:] for x in pieces(t, known))]
             yield pd.DataFrame(rows, columns=["doc_id", "pii_kind", "matched_text", "cue", "words", "beside", "lane"])
 
-    schema = "doc_id bigint, pii_kind string, matched_text string, cue string, words array<string>, beside boolean, lane string"
+    schema = "doc_id bigint, pii_kind string, matched_text string, cue string, words string, beside boolean, lane string"
     found = documents.select("doc_id", "text").where("text is not null and doc_id is not null").mapInPandas(scan, schema)
     performers = store(artists.select(folded("artist_name").alias("performer")).where("performer is not null").distinct())
-    found = found.join(performers, (F.array_join("words", " ") == F.col("performer")) & (F.col("pii_kind") == "person_name"), "left_anti")
-    return found.withColumn("words", F.filter("words", lambda w: F.length(w) > 1)).where((F.col("pii_kind") != "person_name") | (F.size("words") > 0))
+    found = found.join(performers, (F.col("words") == F.col("performer")) & (F.col("pii_kind") == "person_name"), "left_anti")
+    return found.withColumn("words", F.filter(F.split("words", " "), lambda w: F.length(w) > 1)).where((F.col("pii_kind") != "person_name") | (F.size("words") > 0))
 
 
 def _bits(hits: Column, n: Column, base: float) -> Column:
@@ -333,7 +343,7 @@ def sanitised(documents: DataFrame, artists: DataFrame) -> DataFrame:
 
     def swap(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            known: dict[str, tuple[str, ...]] = {}
+            known: dict[str, str] = {}
             out = []
             for text, swaps in zip(pdf["text"], pdf["found"], strict=True):
                 kinds = {(p["matched_text"], "bare" if p["pii_kind"] == "phone" and p["matched_text"].isdigit() else p["pii_kind"]): p["pii_kind"] for p in swaps}
