@@ -145,6 +145,32 @@ def test_fingerprints_against_all_pairs(spark):
 
 
 def test_copy_agreement(spark):
-    t = spark.createDataFrame([("A", "x.mp3", "1"), ("A", "X.flac", "1"), ("A", "y.mp3", "2"), ("A", "y.mp3", "3"), ("B", "z.mp3", ""), (None, None, None)], "artist string, file_name string, audio_id string")
-    assert rows(measures.copy_agreement(t)) == [(False, 1, 1), (True, 1, 0)]
+    """A copy below the folder is paired with the first entry outside that has its stem, whatever the artist."""
+    t = spark.createDataFrame(
+        [(1, "/:Music/:", "x.mp3", "1"), (2, "/:Music/:", "X.mp3", "9"), (3, "/:Backup/:A/:", "X.mp3", "1"), (4, "/:Backup/:", "x.flac", "1"), (5, "/:Backup/:", "x.wav", "2"), (6, "/:Backup/:", "y.mp3", "1"), (7, "/:Music/:", "z.mp3", ""), (8, "/:Backup/:", "z.mp3", ""), (9, "/:Backup/:", "x.txt", "1"), (10, None, None, None)],
+        "entry_id long, dir_value string, file_name string, audio_id string",
+    )
+    assert rows(measures.copy_agreement(t, ["Backup"])) == [(0.5, 0.5, 2, 2)]
+    assert rows(measures.copy_agreement(t.limit(0), ["Backup"])) == [(0.0, 0.0, 0, 0)]
+
+
+def test_false_collisions_are_pairs(spark):
+    """Against the pairs themselves: tags and length agree, or one file twice."""
+    rng = random.Random(4)
+    data = [(i, rng.choice(["g", "h", "", None]), rng.choice(["A", "a", "B", None]), "T", rng.choice(["10", "11", ""]), rng.choice(["1.0", "1.9", "2.0", "3.5", "x", None]), rng.choice(["320", ""])) for i in range(120)]
+    t = spark.createDataFrame(data, "entry_id long, audio_id string, artist string, title string, filesize string, playtime_float string, bitrate string")
+    want = {}
+    for x, y in itertools.combinations(data, 2):
+        if x[1] and x[1] == y[1]:
+            sec = lambda v: float(v) if v and v != "x" else None
+            close = sec(x[5]) is not None and sec(y[5]) is not None and abs(sec(x[5]) - sec(y[5])) <= 1.0
+            twice = all(x[4:]) and x[4:] == y[4:]
+            n = want.setdefault(x[1], [0, 0])
+            n[0] += 1
+            n[1] += not (((x[2] or "").casefold() == (y[2] or "").casefold() and close) or twice)
+    assert {r["audio_id"]: [r["pairs"], r["collisions"]] for r in measures.false_collisions(t).collect()} == want
+    assert measures.false_collisions(t.limit(0)).count() == 0
+
+
+def test_measured_thresholds():
     assert measures.groups_by_audio_id(0.99, 0.995, 0) and not measures.groups_across_formats(0.99, 0.99, 0.9, 0)

@@ -41,7 +41,7 @@ def parse_duration(text: Column) -> Column:
 
 def show_size(kilobytes: Column) -> Column:
     n = number(kilobytes)
-    return F.when(n.isNotNull() & (n > 0), F.format_string("%.1f MB", n / 1024))
+    return F.when(n.isNotNull() & (n > 0), F.format_string("%.1f MB", F.bround(n / 1024, 1)))
 
 
 def show_bitrate(bits: Column) -> Column:

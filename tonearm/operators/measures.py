@@ -2,35 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tonearm import model
 from tonearm.functions import paths
 from tonearm.functions.numbers import number
 
 
-def inspect(tracks: DataFrame, nodes: DataFrame, entries: DataFrame) -> DataFrame:
-    """One row of counts: entries, filled fields, distinct volumes and keys, playlists and their entries."""
-    t = tracks.agg(
-        F.count(F.lit(1)).alias("entries"), F.count_if(F.coalesce(F.col("artist"), F.lit("")) != "").alias("with_artist"), F.count_if(F.coalesce(F.col("title"), F.lit("")) != "").alias("with_title"),
-        F.count_if(F.coalesce(F.col("audio_id"), F.lit("")) != "").alias("with_audio_id"), F.count_distinct("volume").alias("volumes"), F.count_distinct("primary_key").alias("distinct_keys"),
+def inspect(tracks: DataFrame, entries: DataFrame) -> DataFrame:
+    """One row of counts: collection entries, those with a location and with a key, playlist references, those with a key, and entries of both kinds."""
+    one = lambda df, kind, located, keyed: df.select(F.lit(kind).alias("kind"), located.cast("int").alias("located"), keyed.isNotNull().cast("int").alias("keyed"))
+    place = F.col("dir_value").isNotNull() & F.col("file_name").isNotNull()
+    both = one(tracks, "entry", place, F.col("primary_key")).unionByName(one(entries, "ref", F.lit(False), F.col("primary_key")))
+    of = lambda kind, value: F.coalesce(F.sum(F.when(F.col("kind") == kind, value)), F.lit(0).cast("long"))
+    return both.agg(
+        of("entry", F.lit(1)).alias("collection_entries"), of("entry", F.col("located")).alias("collection_entries_with_location"), of("entry", F.col("keyed")).alias("collection_entries_with_primarykey"),
+        of("ref", F.lit(1)).alias("playlist_entry_refs"), of("ref", F.col("keyed")).alias("playlist_primarykeys"), F.count(F.lit(1)).alias("all_entry_nodes_in_document"),
     )
-    n = nodes.agg(F.count_if(F.col("node_type") == "PLAYLIST").alias("playlists"))
-    e = entries.agg(F.count(F.lit(1)).alias("playlist_entries"))
-    # Three rows of one: no join key is needed and no data multiplies.
-    return t.join(n).join(e)
 
 
-def audio_id_collisions(tracks: DataFrame) -> DataFrame:
-    """(audio_id, members, names, min_sec, max_sec) of shared ids whose members differ in name or by over a second.
+def false_collisions(tracks: DataFrame) -> DataFrame:
+    """(audio_id, pairs, collisions): pairs of entries with one audio id, and those of them that are two recordings.
 
-    Groups stand for their pairs, so a large group costs one row.
+    A pair is no collision when artist, title (by case folding) and length within a second agree, or when it is one
+    file twice: size, length and bit rate filled and the same text. Pairs are counted, not formed: equal rows first,
+    then a sum over the lengths within a second, so a large group costs as many rows as it has different readings.
     """
-    name = F.concat_ws("\x1f", paths.casefold(F.coalesce("artist", F.lit(""))), paths.casefold(F.coalesce("title", F.lit(""))))
-    g = tracks.where("audio_id <> ''").groupBy("audio_id").agg(
-        F.count(F.lit(1)).alias("members"), F.count_distinct(name).alias("names"), F.round(F.min(number(F.col("playtime_float"))), 6).alias("min_sec"), F.round(F.max(number(F.col("playtime_float"))), 6).alias("max_sec")
-    )
-    return g.where("members > 1 and (names > 1 or max_sec - min_sec > 1.0)")
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    half = lambda n: n * (n - 1) / 2
+    micros = F.round(number(F.col("playtime_float")) * 1_000_000).cast("long")
+    names = F.concat_ws("\x1f", paths.casefold(text("artist")), paths.casefold(text("title")))
+    measured = F.when((text("filesize") != "") & (text("playtime_float") != "") & (text("bitrate") != ""), F.concat_ws("\x1f", "filesize", "playtime_float", "bitrate"))
+    rows = tracks.where("audio_id <> ''").select("audio_id", names.alias("names"), micros.alias("us"), measured.alias("measured"))
+    rows = rows.groupBy("audio_id", "names", "us", "measured").agg(F.count(F.lit(1)).alias("n"))
+    every = rows.groupBy("audio_id").agg(F.sum("n").alias("n")).where("n > 1").select("audio_id", half(F.col("n")).alias("pairs"))
+    count = lambda by, where: rows.where(where).groupBy(*by).agg(F.sum("n").alias("n")).select("audio_id", half(F.col("n")).alias("same"))
+    twice = count(["audio_id", "measured"], "measured is not null")
+    both = count(["audio_id", "names", "us", "measured"], "measured is not null and us is not null").withColumn("same", -F.col("same"))
+    lengths = rows.where("us is not null").groupBy("audio_id", "names", "us").agg(F.sum("n").alias("n"))
+    near = Window.partitionBy("audio_id", "names").orderBy("us").rangeBetween(-1_000_000, -1)
+    close = lengths.select("audio_id", (half(F.col("n")) + F.col("n") * F.coalesce(F.sum("n").over(near), F.lit(0))).alias("same"))
+    same = twice.unionByName(both).unionByName(close).groupBy("audio_id").agg(F.sum("same").alias("same"))
+    return every.join(same, "audio_id", "left").select("audio_id", F.col("pairs").cast("long").alias("pairs"), (F.col("pairs") - F.coalesce("same", F.lit(0.0))).cast("long").alias("collisions"))
 
 
 def reanalysis_stability(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -42,14 +56,21 @@ def reanalysis_stability(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
-def copy_agreement(tracks: DataFrame) -> DataFrame:
-    """(same_suffix, pairs_of_stem, same_audio_id): stems that stand in several folders, split by whether all share one file type."""
-    stem = paths.bare_name(F.col("file_name"))
-    suffix = F.lower(F.regexp_extract("file_name", r"\.([^.]*)$", 1))
-    g = tracks.where("audio_id <> ''").groupBy(stem.alias("stem"), F.col("artist")).agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct(suffix).alias("suffixes"), F.count_distinct("audio_id").alias("ids")
-    ).where("n > 1 and stem is not null")
-    return g.groupBy((F.col("suffixes") == 1).alias("same_suffix")).agg(F.count(F.lit(1)).alias("stems"), F.count_if(F.col("ids") == 1).alias("same_audio_id"))
+def copy_agreement(tracks: DataFrame, root: list[str]) -> DataFrame:
+    """(copy_rate, format_rate, copies, formats): entries below the folder ``root`` paired with the first entry outside
+    it that has the same stem; the share of pairs that have one audio id, by whether their suffix is the same.
+
+    Rows without a file name and files that are no audio have no pair; a rate of nothing is 0.
+    """
+    parts = paths.folder_parts(F.col("dir_value"))
+    suffix = F.lower(F.regexp_extract("file_name", r".(\.[^.]*)$", 1))
+    stem = paths.casefold(F.regexp_replace("file_name", r"(?<=.)\.[^.]*$", ""))
+    rows = tracks.where("file_name <> ''").select("entry_id", F.coalesce("audio_id", F.lit("")).alias("audio_id"), stem.alias("stem"), suffix.alias("suffix"), (F.slice(parts, 1, len(root)) == F.array(*[F.lit(r) for r in root])).alias("inside"))
+    first = rows.where("not inside").groupBy("stem").agg(F.min_by(F.struct("audio_id", "suffix"), "entry_id").alias("o"))
+    copies = rows.where(F.col("inside") & F.col("suffix").isin([x for x in model.AUDIO_SUFFIXES if x.count(".") == 1])).join(first, "stem")
+    agree, same = (F.col("audio_id") != "") & (F.col("audio_id") == F.col("o.audio_id")), F.col("suffix") == F.col("o.suffix")
+    rate = lambda kind: F.round(F.coalesce(F.count_if(kind & agree) / F.nullif(F.count_if(kind), F.lit(0)), F.lit(0.0)), 6)
+    return copies.agg(rate(same).alias("copy_rate"), rate(~same).alias("format_rate"), F.count_if(same).alias("copies"), F.count_if(~same).alias("formats"))
 
 
 def reference_inventory(tracks: DataFrame, entries: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,17 +11,17 @@ from tonearm import model
 from tonearm.functions import numbers
 
 
-def top_with_remainder(rows: DataFrame, value: str, label: str, n: int) -> DataFrame:
-    """(rank, label, value): the n greatest, then one row `others` with the number and the greatest of the rest.
+def top_with_remainder(rows: DataFrame, value: str, label: str, n: int, rest_of: Callable[..., Column] = F.max, rest_label: tuple[str, str] = ("others: ", "")) -> DataFrame:
+    """(rank, label, value): the n greatest, then one row with the number and the greatest of the rest, or what ``rest_of`` makes of it.
 
-    Ties go by label. The remainder is aggregated, not gathered.
+    Labels are distinct; ties go by label. The remainder is aggregated, not gathered.
     """
     best = rows.select(label, value).orderBy(F.desc(value), label).limit(n)
     # The window sees the n rows that are left.
     ranked = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(value), label)).cast("long"))
     first = ranked.select("rank", F.col(label).alias("label"), F.col(value).cast("double").alias("value"))
-    rest = rows.join(best.select(label), label, "left_anti").agg(F.count(F.lit(1)).alias("c"), F.max(value).alias("m")).where("c > 0")
-    return first.unionByName(rest.select(F.lit(n + 1).cast("long").alias("rank"), F.concat(F.lit("others: "), F.col("c").cast("string")).alias("label"), F.col("m").cast("double").alias("value")))
+    rest = rows.join(best.select(label), label, "left_anti").agg(F.count(F.lit(1)).alias("c"), rest_of(value).alias("m")).where("c > 0")
+    return first.unionByName(rest.select(F.lit(n + 1).cast("long").alias("rank"), F.concat(F.lit(rest_label[0]), F.col("c").cast("string"), F.lit(rest_label[1])).alias("label"), F.col("m").cast("double").alias("value")))
 
 
 def status_counts(reviews: DataFrame) -> DataFrame:

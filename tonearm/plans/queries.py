@@ -66,13 +66,12 @@ def p2_by_period(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "SELECT (SELECT count(*) FROM tracks) AS entries, (SELECT count(*) FROM tracks WHERE coalesce(artist,'') <> '') AS with_artist, "
-    "(SELECT count(*) FROM tracks WHERE coalesce(title,'') <> '') AS with_title, (SELECT count(*) FROM tracks WHERE coalesce(audio_id,'') <> '') AS with_audio_id, "
-    "(SELECT count(DISTINCT volume) FROM tracks) AS volumes, (SELECT count(DISTINCT primary_key) FROM tracks) AS distinct_keys, "
-    "(SELECT count(*) FROM playlist_nodes WHERE node_type = 'PLAYLIST') AS playlists, (SELECT count(*) FROM playlist_entries) AS playlist_entries"
+    "SELECT (SELECT count(*) FROM tracks) AS collection_entries, (SELECT count(*) FROM tracks WHERE dir_value IS NOT NULL AND file_name IS NOT NULL) AS collection_entries_with_location, "
+    "(SELECT count(primary_key) FROM tracks) AS collection_entries_with_primarykey, (SELECT count(*) FROM playlist_entries) AS playlist_entry_refs, (SELECT count(primary_key) FROM playlist_entries) AS playlist_primarykeys, "
+    "(SELECT count(*) FROM tracks) + (SELECT count(*) FROM playlist_entries) AS all_entry_nodes_in_document"
 )
 def inspect_stats(spark, d):
-    return measures.inspect(table(spark, d, "tracks"), table(spark, d, "playlist_nodes"), table(spark, d, "playlist_entries"))
+    return measures.inspect(table(spark, d, "tracks"), table(spark, d, "playlist_entries"))
 
 
 @query(
@@ -578,12 +577,12 @@ def parse_tracklist(spark, d):
 
 
 @query(
-    "SELECT ref, CASE WHEN ref % 3 = 0 THEN printf('%.3f', (ref % 500 + 1)::DOUBLE) WHEN ref % 3 = 1 THEN printf('%.3f', ((ref % 90) * 60 + ref % 60)::DOUBLE) ELSE '' END AS seconds FROM (SELECT p_partkey AS ref FROM part) WHERE NOT (ref % 3 = 1 AND (ref % 90) * 60 + ref % 60 = 0)"
+    "SELECT ref, CASE WHEN ref % 3 = 0 THEN printf('%.3f', (ref % 500 + 1)::DOUBLE) WHEN ref % 3 = 1 AND (ref % 90) * 60 + ref % 60 > 0 THEN printf('%.3f', ((ref % 90) * 60 + ref % 60)::DOUBLE) ELSE '' END AS seconds FROM (SELECT p_partkey AS ref FROM part)"
 )
 def parse_duration(spark, d):
     k = F.col("p_partkey")
     raw = F.when(k % 3 == 0, (k % 500 + 1).cast("string")).when(k % 3 == 1, F.format_string("%d:%02d", k % 90, k % 60)).otherwise("n/a")
-    return table(spark, d, "part").where("not (p_partkey % 3 = 1 and (p_partkey % 90) * 60 + p_partkey % 60 = 0)").select(k.alias("ref"), numbers.parse_duration(raw).alias("seconds"))
+    return table(spark, d, "part").select(k.alias("ref"), numbers.parse_duration(raw).alias("seconds"))
 
 
 @query("SELECT p_partkey AS ref, row_number() OVER (ORDER BY lower(p_brand), p_partkey % 997, p_partkey) AS rank FROM part")
@@ -686,13 +685,17 @@ def fingerprint_clusters(spark, d):
     return fingerprint.clusters(e.unionByName(c))
 
 
+_READ = r"CASE WHEN regexp_matches(playtime_float, '^\s*[+-]?(\d+(\.\d*)?|\.\d+)\s*$') THEN CAST(round(try_cast(playtime_float AS DOUBLE) * 1000000) AS BIGINT) END"
+
+
 @query(
-    "SELECT audio_id, count(*) AS members, count(DISTINCT replace(lower(coalesce(artist,'')), 'ς', 'σ') || chr(31) || replace(lower(coalesce(title,'')), 'ς', 'σ')) AS names, round(min(sec), 6) AS min_sec, round(max(sec), 6) AS max_sec FROM "
-    "(SELECT *, CASE WHEN regexp_matches(playtime_float, '^\\s*[+-]?(\\d+(\\.\\d*)?|\\.\\d+)\\s*$') THEN try_cast(playtime_float AS DOUBLE) END AS sec FROM tracks WHERE audio_id <> '') "
-    "GROUP BY 1 HAVING members > 1 AND (names > 1 OR max(sec) - min(sec) > 1.0)"
+    "WITH t AS (SELECT entry_id, audio_id, replace(lower(coalesce(artist,'')), 'ς', 'σ') || chr(31) || replace(lower(coalesce(title,'')), 'ς', 'σ') AS names, coalesce(filesize,'') AS f, coalesce(playtime_float,'') AS p, coalesce(bitrate,'') AS b, "
+    + _READ
+    + " AS us FROM tracks WHERE audio_id <> '') SELECT x.audio_id, count(*) AS pairs, count(*) FILTER (NOT ((x.names = y.names AND coalesce(abs(x.us - y.us) <= 1000000, FALSE)) OR "
+    "(x.f <> '' AND x.p <> '' AND x.b <> '' AND x.f = y.f AND x.p = y.p AND x.b = y.b))) AS collisions FROM t x JOIN t y ON x.audio_id = y.audio_id AND x.entry_id < y.entry_id GROUP BY 1"
 )
 def audio_id_collisions(spark, d):
-    return measures.audio_id_collisions(table(spark, d, "tracks"))
+    return measures.false_collisions(table(spark, d, "tracks"))
 
 
 @query(
@@ -720,17 +723,21 @@ def play_overlap(spark, d):
     return measures.overlap(table(spark, d, "tracks"), "removed_at")
 
 
-@query()
+@query(
+    r"""WITH t AS (SELECT entry_id, coalesce(audio_id, '') AS aid, starts_with(dir_value, '/:Backup/:') AS inside, replace(lower(regexp_replace(file_name, '(.)\.[^.]*$', '\1')), 'ς', 'σ') AS stem, lower(regexp_extract(file_name, '.(\.[^.]*)$', 1)) AS suffix FROM tracks WHERE file_name <> ''),
+o AS (SELECT stem, arg_min(aid, entry_id) AS aid, arg_min(suffix, entry_id) AS suffix FROM t WHERE NOT inside GROUP BY 1),
+c AS (SELECT t.suffix = o.suffix AS same, t.aid <> '' AND t.aid = o.aid AS agree FROM t JOIN o USING (stem) WHERE inside AND t.suffix IN ('.mp3', '.flac', '.wav', '.aiff', '.aif', '.m4a', '.ogg'))
+SELECT round(coalesce(avg(agree::INT) FILTER (same), 0.0), 6) AS copy_rate, round(coalesce(avg(agree::INT) FILTER (NOT same), 0.0), 6) AS format_rate, count(*) FILTER (same) AS copies, count(*) FILTER (NOT same) AS formats FROM c"""
+)
 def copy_agreement(spark, d):
-    """Folds file names of all alphabets; tested on a small fixture."""
-    return measures.copy_agreement(table(spark, d, "tracks"))
+    return measures.copy_agreement(table(spark, d, "tracks"), ["Backup"])
 
 
 @query(
-    "SELECT f.file_id, f.scan_root || f.file_name || '|' || f.filesize || '|' || CAST(epoch(f.mtime) AS BIGINT) AS cache_key FROM disk_files f WHERE filesize IS NOT NULL AND mtime IS NOT NULL AND file_id % 3 <> 0"
+    "SELECT f.file_id, f.scan_root || f.file_name || '|' || f.filesize || '|' || CAST(epoch(f.mtime) AS BIGINT) AS cache_key FROM disk_files f WHERE file_id % 3 <> 0 OR filesize IS NULL OR mtime IS NULL"
 )
 def cache_misses(spark, d):
-    files = table(spark, d, "disk_files").where("filesize is not null and mtime is not null").select(
+    files = table(spark, d, "disk_files").select(
         "file_id", F.concat("scan_root", "file_name").alias("path"), F.col("filesize").alias("size"), F.unix_timestamp(F.col("mtime").cast("timestamp")).alias("mtime")
     )
     keyed = files.withColumn("cache_key", tagcache.cache_key())
@@ -744,12 +751,12 @@ def cache_misses(spark, d):
 @query(
     "WITH n AS (SELECT node_name || ' #' || p.node_id AS label, count(e.ref_id) AS value FROM playlist_nodes p JOIN playlist_entries e USING (collection_id, node_id) GROUP BY 1), "
     "r AS (SELECT row_number() OVER (ORDER BY value DESC, label) AS rank, label, value::DOUBLE AS value FROM n) "
-    "SELECT rank, label, value FROM r WHERE rank <= 9 UNION ALL SELECT 10, 'others: ' || count(*), max(value) FROM r WHERE rank > 9 HAVING count(*) > 0"
+    "SELECT rank, label, value FROM r WHERE rank <= 9 UNION ALL SELECT 10, 'and ' || count(*) || ' more', sum(value) FROM r WHERE rank > 9 HAVING count(*) > 0"
 )
 def playlist_listing(spark, d):
     n = table(spark, d, "playlist_nodes").select("collection_id", "node_id", "node_name")
     sizes = table(spark, d, "playlist_entries").groupBy("collection_id", "node_id").agg(F.count(F.lit(1)).alias("value")).join(n, ["collection_id", "node_id"])
-    return reports.top_with_remainder(sizes.select(F.concat("node_name", F.lit(" #"), F.col("node_id").cast("string")).alias("label"), "value"), "value", "label", 9)
+    return reports.top_with_remainder(sizes.select(F.concat("node_name", F.lit(" #"), F.col("node_id").cast("string")).alias("label"), "value"), "value", "label", 9, F.sum, ("and ", " more"))
 
 
 @query(
@@ -783,11 +790,12 @@ def bulk_pick(spark, d):
 
 
 @query(
-    f"WITH {adapter.NEW} SELECT rid, attr, l AS left_value, r AS right_value, l <> r AS differs FROM (SELECT o.rid, "
+    f"WITH {adapter.NEW} SELECT rid, attr, l AS left_value, r AS right_value, CASE WHEN attr IN ('artist', 'title', 'album') THEN nullif(l, '') WHEN coalesce(try_cast(l AS DOUBLE), 0) <= 0 THEN NULL WHEN attr = 'filesize' THEN printf('%.1f MB', l::DOUBLE / 1024) "
+    "WHEN attr = 'bitrate' THEN CAST(round_even(l::DOUBLE / 1000, 0) AS BIGINT) || ' kbps' ELSE printf('%d:%02d', CAST(floor(l::DOUBLE) AS BIGINT) // 60, CAST(floor(l::DOUBLE) AS BIGINT) % 60) END AS shown, l <> r AS differs FROM (SELECT o.rid, "
     "unnest(['artist','title','album','filesize','playtime_float','bitrate']) AS attr, unnest([o.artist, o.title, o.album, o.filesize, o.playtime_float, o.bitrate]) AS l, unnest([n.artist, n.title, n.album, n.filesize, n.playtime_float, n.bitrate]) AS r FROM old o JOIN new n USING (rid))"
 )
 def answer_fields(spark, d):
-    return reports.field_rows(*_pair(spark, d), "rid").drop("shown")
+    return reports.field_rows(*_pair(spark, d), "rid")
 
 
 @query(

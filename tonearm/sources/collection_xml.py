@@ -129,14 +129,35 @@ def problems(spark: SparkSession, path: str) -> DataFrame:
 
 #: Characters escaped in an attribute, the ampersand first.
 ESCAPES = [("&", "&amp;"), ("<", "&lt;"), ('"', "&quot;"), ("\t", "&#x9;"), ("\n", "&#xA;"), ("\r", "&#xD;")]
-_OPENING = re.compile(r"<(LOCATION|PRIMARYKEY)\b([^<>]*?)(/?)>")
-_ATTRIBUTE = re.compile(r'([\w:.-]+)\s*=\s*"([^"]*)"')
+#: The rest of an opening tag: quoted values may hold any character but their quote.
+_REST = r"""((?:[^<>"']|"[^"]*"|'[^']*')*?)(/?)>"""
+#: Comments and sections of plain characters are no elements.
+_OPENING = re.compile(r"<!--.*?-->|<!\[CDATA\[.*?\]\]>|<(LOCATION|PRIMARYKEY)\b" + _REST, re.S)
+_ATTRIBUTE = re.compile(r"""([\w:.-]+)(\s*=\s*)("[^"]*"|'[^']*')""")
 
 
 class PatchError(ValueError):
     """A change that contradicts another or fits no element."""
 
 
+def quoted(value: str, quote: str = '"') -> str:
+    """The value as an attribute in its quotes."""
+    value = escape(value)
+    return quote + (value.replace("'", "&apos;") if quote == "'" else value) + quote
+
+
+def put_attributes(tag: str, values: dict[str, str]) -> str:
+    """An opening tag with attributes set in place, in the quotes they have; new ones are put at its end."""
+    left = dict(values)
+
+    def put(m: re.Match) -> str:
+        return m[1] + m[2] + quoted(left.pop(m[1]), m[3][0]) if m[1] in left else m[0]
+
+    tag = _ATTRIBUTE.sub(put, tag)
+    end = -2 if tag.endswith("/>") else -1
+    return tag[:end] + "".join(f" {k}={quoted(v)}" for k, v in left.items()) + tag[end:]
+
+
 def escape(value: str) -> str:
     for plain, escaped in ESCAPES:
         value = value.replace(plain, escaped)
@@ -161,28 +182,25 @@ def patch_references(text: str, keys: dict[str, str], locations: dict[str, tuple
 
     def swap(match: re.Match) -> str:
         nonlocal changes
-        tag, body = match[1], match[2]
-        have = {k: unescape(v) for k, v in _ATTRIBUTE.findall(body)}
+        tag = match[1]
+        if tag is None:
+            return match[0]
+        have = {m[1]: unescape(m[3][1:-1]) for m in _ATTRIBUTE.finditer(match[2])}
         if tag == "PRIMARYKEY":
-            new = {"KEY": keys[have["KEY"]]} if have.get("KEY") in keys else {}
-            used.add((tag, have.get("KEY", "")))
+            key = have.get("KEY", "")
+            new = {"KEY": keys[key]} if key in keys else {}
         else:
             key = have.get("VOLUME", "") + have.get("DIR", "") + have.get("FILE", "")
             new = dict(zip(("VOLUME", "VOLUMEID", "DIR", "FILE"), locations[key], strict=True)) if key in locations else {}
-            used.add((tag, key))
+        used.add((tag, key))
         new = {k: v for k, v in new.items() if have.get(k) != v}
         changes += bool(new)
-
-        def put(m: re.Match) -> str:
-            return f'{m[1]}="{escape(new.pop(m[1]))}"' if m[1] in new else m[0]
-
-        body = _ATTRIBUTE.sub(put, body)
-        return f"<{tag}{body}" + "".join(f' {k}="{escape(v)}"' for k, v in new.items()) + f"{match[3]}>"
+        return put_attributes(match[0], new)
 
     out = _OPENING.sub(swap, text)
-    lost = [k for k in locations if ("LOCATION", k) not in used]
+    lost = [("LOCATION", k) for k in locations if ("LOCATION", k) not in used] + [("PRIMARYKEY", k) for k in keys if ("PRIMARYKEY", k) not in used]
     if lost:
-        raise PatchError(f"no location for {lost[0]!r}")
+        raise PatchError(f"no {lost[0][0]} for {lost[0][1]!r}")
     return out, changes
 
 
@@ -191,23 +209,23 @@ def set_entry_attributes(entry: str, values: dict[str, str]) -> str:
     carriers = {"artist": ("ENTRY", "ARTIST"), "title": ("ENTRY", "TITLE"), "album": ("ALBUM", "TITLE"), "filesize": ("INFO", "FILESIZE"), "playtime_float": ("INFO", "PLAYTIME_FLOAT"), "bitrate": ("INFO", "BITRATE")}
     for name, value in values.items():
         tag, attribute = carriers[name]
-        opening = re.search(rf"<{tag}\b[^<>]*?(/?)>", entry)
+        opening = re.search(rf"<{tag}\b{_REST}", entry)
         if opening is None:
             if value:
+                if entry.rstrip().endswith("/>"):
+                    entry = entry.rstrip()[:-2].rstrip() + "></ENTRY>"
                 end = entry.rindex("</ENTRY>")
-                entry = f'{entry[:end]}<{tag} {attribute}="{escape(value)}"></{tag}>{entry[end:]}'
+                entry = f"{entry[:end]}<{tag} {attribute}={quoted(value)}></{tag}>{entry[end:]}"
             continue
-        body, n = re.subn(rf'(\b{attribute}\s*=\s*)"[^"]*"', lambda m: f'{m[1]}"{escape(value)}"', opening[0])
-        if not n and value:
-            at = len(body) - 1 - len(opening[1])
-            body = f'{body[:at]} {attribute}="{escape(value)}"{body[at:]}'
+        has = any(m[1] == attribute for m in _ATTRIBUTE.finditer(opening[0]))
+        body = put_attributes(opening[0], {attribute: value}) if has or value else opening[0]
         entry = entry[: opening.start()] + body + entry[opening.end() :]
     return entry
 
 
 def recount(opening: str, attribute: str, number: int) -> str:
     """The opening tag with its count set; a tag that has no count stays without."""
-    return re.sub(rf'(\b{attribute}\s*=\s*)"[^"]*"', lambda m: f'{m[1]}"{number}"', opening)
+    return put_attributes(opening, {attribute: str(number)}) if any(m[1] == attribute for m in _ATTRIBUTE.finditer(opening)) else opening
 
 
 def playlist_node(name: str, keys: list[str], uuid: str) -> str:
@@ -218,6 +236,7 @@ def playlist_node(name: str, keys: list[str], uuid: str) -> str:
 def write_collection(tracks: DataFrame, path: str, playlists: DataFrame | None = None) -> int:
     """Write one document in order of ``ord``, row by row; returns the number of tracks.
 
+    For a document without a source. What was read from one is written by ``spans``, which keeps all else as it stands.
     A document is one file, so rows are streamed through the driver one partition at a time.
     ``playlists`` has (name, uuid, pos, key).
     """

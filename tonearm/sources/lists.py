@@ -16,6 +16,9 @@ from pathlib import PurePosixPath, PureWindowsPath
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tonearm import model
 
 SCHEMA = "list_id string, line_number int, raw_text string, kind string, artist string, title string, album string, playtime_float string, file string, folders array<string>"
 #: Columns of a CSV list; the first two are required.
@@ -90,8 +93,8 @@ def csv_template() -> bytes:
 
 
 def parse_extinf(line: str) -> tuple[str, str, str]:
-    """(seconds, artist, title) of an extended line; what cannot be read is empty."""
-    length, _, name = line.removeprefix("#EXTINF:").partition(",")
+    """(seconds, artist, title) of an extended line, in any letter case; attributes may stand before the comma; what cannot be read is empty."""
+    length, _, name = re.sub(r"^#EXTINF:", "", line, flags=re.I).partition(",")
     m = re.match(r"\s*(\d+(?:\.\d+)?)", length)
     seconds = float(m[1]) if m else 0
     artist, dash, title = name.strip().partition(" - ")
@@ -99,12 +102,12 @@ def parse_extinf(line: str) -> tuple[str, str, str]:
     return f"{seconds:.3f}" if seconds > 0 else "", artist.strip() if both else "", title.strip() if both else ""
 
 
-def parse_m3u(data: bytes) -> list[tuple]:
-    """Path lines with the extended line before them. Addresses on the web are unparseable."""
+def parse_m3u(data: bytes, strict: bool = False) -> list[tuple]:
+    """Path lines with the extended line before them. Addresses on the web are unparseable. ``strict`` takes UTF-8 only, as .m3u8 must be."""
     out, told = [], ("", "", "")
-    for n, raw in enumerate(decode(data).splitlines(), 1):
+    for n, raw in enumerate(decode(data, strict).splitlines(), 1):
         line = raw.strip()
-        if line.startswith("#EXTINF:"):
+        if line[:8].upper() == "#EXTINF:":
             told = parse_extinf(line)
         if not line or line.startswith("#"):
             continue
@@ -145,6 +148,17 @@ def detect(path: str) -> str:
 PARSERS = {"text": parse_text, "csv": parse_csv, "m3u": parse_m3u}
 
 
+def read_input(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+    """Request rows of one list, by the format its name tells; a different ``kind`` is refused."""
+    found = detect(path)
+    if kind is not None and kind != found:
+        raise ListError(f"{path!r} is {found}, not {kind}")
+    if found == "folder":
+        rows = parse_folder(sorted(n for n in os.listdir(path) if os.path.isfile(os.path.join(path, n))), lambda n: n.lower().endswith(tuple(model.AUDIO_SUFFIXES)))
+        return spark.createDataFrame([(path, *r) for r in rows], SCHEMA)
+    return read_lists(spark, path, found)
+
+
 def read_lists(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """All lists of one kind below a path (or one file) as request rows."""
     parse = PARSERS[kind]
@@ -153,6 +167,30 @@ def read_lists(spark: SparkSession, path: str, kind: str) -> DataFrame:
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                yield pd.DataFrame([(name, *r) for r in parse(bytes(content))], columns=names)
+                data = bytes(content)
+                got = parse(data, name.lower().endswith(".m3u8")) if kind == "m3u" else parse(data)
+                yield pd.DataFrame([(name, *r) for r in got], columns=names)
 
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInPandas(rows, SCHEMA)
+
+
+def request_records(rows: DataFrame) -> DataFrame:
+    """Request rows of kind `track` as records of the cascade: tags, time, file and folders, each where the list names it.
+
+    rid is a number within this frame; (list_id, line_number) stand beside it.
+    """
+    text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    place = F.concat(F.lit("/:"), F.array_join("folders", "/:"), F.when(F.size("folders") > 0, "/:").otherwise(""))
+    return rows.where("kind = 'track'").select(
+        F.monotonically_increasing_id().alias("rid"), "list_id", "line_number", text("artist"), text("title"), text("album"), F.lit("").alias("audio_id"), F.lit("").alias("filesize"),
+        text("playtime_float"), text("file"), F.when(F.size("folders") > 0, place).otherwise("").alias("dir"), F.lit("").alias("primary_key"), F.lit("").alias("bitrate"),
+    )
+
+
+def index_present(rows: DataFrame, records: DataFrame) -> DataFrame:
+    """Request records with size and tags of the files on disk (``records``: file, dir, filesize, playtime_float, artist, title) put in where the
+    list names a path that exists; what the list says itself goes first."""
+    found = records.groupBy("dir", "file").agg(*[F.min(c).alias("d_" + c) for c in ("filesize", "playtime_float", "artist", "title")])
+    own = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.col("d_" + c), F.lit("")).alias(c)
+    met = rows.join(found, ["dir", "file"], "left")
+    return met.select(*[own(c) if c in ("filesize", "playtime_float", "artist", "title") else F.col(c) for c in rows.columns])

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 
 def cache_key() -> Column:
-    return F.concat_ws("|", "path", "size", F.floor(F.col("mtime")).cast("long").cast("string"))
+    """Key of a file; null, and so never in a cache, where its size or time is not known."""
+    return F.concat("path", F.lit("|"), "size", F.lit("|"), F.floor(F.col("mtime")).cast("long").cast("string"))
 
 
 def misses(files: DataFrame, cache: DataFrame, refresh: bool = False) -> DataFrame:
