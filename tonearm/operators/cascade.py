@@ -75,7 +75,7 @@ def size_agrees(a: Column, b: Column) -> Column:
 def candidates(old: DataFrame, new: DataFrame, level: str, refute: bool = True, providers: DataFrame | None = None) -> DataFrame:
     """Every (old record, tier, new record) that shares a key, after the preferred-copy rule, with its verdicts.
 
-    ``providers`` (rid, side, tier, key) adds keys of rank 0; side is `old` or `new`.
+    ``providers`` (rid, side, tier, key) adds keys of rank 0; side is `old` or `new`. A null key adds nothing.
     """
     cols = ["rank", "tier", "key"]
     a, b = tier_keys(old, level), tier_keys(new, level)
@@ -103,6 +103,8 @@ def match(old: DataFrame, new: DataFrame, level: str = "strict", refute: bool =
     The first tier with exactly one candidate left (or exactly one that agrees in size)
     matches. A record with several candidates on some tier and no match is ambiguous; one
     whose candidates were all refuted is refuted, which counts as unmatched; the rest is unmatched.
+    A provider row with ``ambiguous`` set (a column it may have) says that the provider itself found several:
+    its record is ambiguous, whatever the other tiers hold.
     """
     met = candidates(old, new, level, refute, providers)
     one = F.struct("n_rid", "n_primary_key")
@@ -119,14 +121,23 @@ def match(old: DataFrame, new: DataFrame, level: str = "strict", refute: bool =
         F.max((F.col("kept") > 1) & F.col("pick").isNull()).alias("several"),
         F.max(F.col("dropped") > 0).alias("refuted"),
     )
+    rows = old.select("rid", "primary_key").join(done, F.col("rid") == F.col("o_rid"), "left").join(_stopped(old, providers), "rid", "left")
+    rows = rows.withColumn("win", F.when(F.col("stopped").isNull(), F.col("win"))).withColumn("several", F.col("several") | F.col("stopped"))
     outcome = (
         F.when(F.col("win").isNotNull(), "matched").when(F.col("several"), "ambiguous").when(F.col("refuted"), "refuted").otherwise("unmatched")
     )
-    return old.select("rid", "primary_key").join(done, F.col("rid") == F.col("o_rid"), "left").select(
+    return rows.select(
         "rid", "primary_key", outcome.alias("outcome"), F.col("win.tier").alias("tier"), F.col("win.pick.n_rid").alias("new_rid"), F.col("win.pick.n_primary_key").alias("new_key")
     )
 
 
+def _stopped(old: DataFrame, providers: DataFrame | None) -> DataFrame:
+    """(rid, stopped) of the old records that a provider calls ambiguous."""
+    if providers is None or "ambiguous" not in providers.columns:
+        return old.select("rid", F.lit(True).alias("stopped")).where("false")
+    return providers.where("side = 'old' and ambiguous").select("rid", F.lit(True).alias("stopped")).distinct()
+
+
 def match_stats(matched: DataFrame) -> DataFrame:
     """(counter, value): matched, matched per tier, ambiguous, unmatched (with refuted) and refuted."""
     counters = [("matched", F.count_if(F.col("outcome") == "matched"))]
@@ -149,15 +160,19 @@ def one_to_one(matched: DataFrame) -> DataFrame:
     )
 
 
-def ambiguity_report(old: DataFrame, new: DataFrame, matched: DataFrame, level: str) -> DataFrame:
-    """(artist, title, old_path, reason) of the records without a match.
-
-    The reason is `ambiguous` when some key meets several new records, whatever size and time say.
-    """
+def ambiguous_records(old: DataFrame, new: DataFrame, matched: DataFrame, level: str, providers: DataFrame | None = None) -> DataFrame:
+    """(rid, many) of the old records without a match: whether some key of theirs meets several new records, whatever size and time say."""
     open_rows = matched.where("outcome <> 'matched'").select("rid")
     left = tier_keys(old, level).join(open_rows, "rid", "left_semi").select("rid", "rank", "key")
     crowd = tier_keys(new, level).groupBy("rank", "key").agg((F.count(F.lit(1)) > 1).alias("many"))
-    reason = left.join(crowd, ["rank", "key"]).groupBy("rid").agg(F.max("many").alias("many"))
+    reason = left.join(crowd, ["rank", "key"]).select("rid", "many").unionByName(_stopped(old, providers).withColumnRenamed("stopped", "many"))
+    return reason.groupBy("rid").agg(F.max("many").alias("many"))
+
+
+def ambiguity_report(old: DataFrame, new: DataFrame, matched: DataFrame, level: str, providers: DataFrame | None = None) -> DataFrame:
+    """(artist, title, old_path, reason) of the records without a match."""
+    open_rows = matched.where("outcome <> 'matched'").select("rid")
+    reason = ambiguous_records(old, new, matched, level, providers)
     return old.join(open_rows, "rid", "left_semi").join(reason, "rid", "left").select(
         "artist", "title", paths.decoded_path(F.col("dir"), F.col("file")).alias("old_path"), F.when(F.col("many"), "ambiguous").otherwise("unmatched").alias("reason")
     )

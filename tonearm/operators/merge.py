@@ -9,6 +9,7 @@ from tonearm import model
 from tonearm.functions.numbers import beyond, exact, number, relative_gap
 from tonearm.operators.cascade import tier_keys
 from tonearm.operators.components import components
+from tonearm.session import store
 
 
 def identity_groups(records: DataFrame, level: str = "strict") -> DataFrame:
@@ -34,7 +35,7 @@ def group_facts(records: DataFrame, groups: DataFrame) -> DataFrame:
     A group is settled when only measured values diverge, all members have one key, a base
     member (input 0) exists and every diverging measured value is a number.
     """
-    m = records.join(groups, "rid")
+    m = store(records.join(groups, "rid").select("group_id", "input_idx", "primary_key", *model.TRACKED))
     named = lambda attrs: F.filter(F.array(*[F.when(F.col("d_" + a), F.lit(a)) for a in attrs]), lambda x: x.isNotNull())
     facts = m.groupBy("group_id").agg(
         F.count(F.lit(1)).alias("members"),
@@ -42,10 +43,13 @@ def group_facts(records: DataFrame, groups: DataFrame) -> DataFrame:
         F.count_if(F.col("input_idx") == 0).alias("base_members"),
         F.count_distinct("primary_key").alias("keys"),
         F.min(F.when(F.col("input_idx") == 0, F.col("primary_key"))).alias("base_key"),
-        F.array_join(F.sort_array(F.collect_list("primary_key")), "|").alias("all_keys"),
         *[_differs(a).alias("d_" + a) for a in model.TRACKED],
         *[(F.count(number(F.col(a))) == F.count(F.lit(1))).alias("n_" + a) for a in model.MEASURED],
     )
+    # Keys are gathered only where they name the group: a group with one base member, however large, is named by its key.
+    nameless = facts.where("base_members <> 1").select("group_id")
+    keys = m.join(nameless, "group_id", "left_semi").groupBy("group_id").agg(F.array_join(F.sort_array(F.collect_list("primary_key")), "|").alias("all_keys"))
+    facts = facts.join(keys, "group_id", "left")
     readable = F.lit(True)
     for a in model.MEASURED:
         readable = readable & (~F.col("d_" + a) | F.col("n_" + a))
@@ -75,8 +79,9 @@ def survivors(records: DataFrame, groups: DataFrame, keep: str = "first") -> Dat
 
 def redirects(records: DataFrame, groups: DataFrame, kept: DataFrame) -> DataFrame:
     """(old_key, new_key) of members of groups with several inputs that are not the survivor, where the key changes."""
-    many = records.join(groups, "rid").groupBy("group_id").agg(F.count_distinct("input_idx").alias("n")).where("n > 1").select("group_id")
-    m = records.join(groups, "rid").join(many, "group_id").select("group_id", "rid", F.col("primary_key").alias("old_key"))
+    m = store(records.join(groups, "rid").select("group_id", "rid", "input_idx", F.col("primary_key").alias("old_key")))
+    many = m.groupBy("group_id").agg((F.min("input_idx") < F.max("input_idx")).alias("several")).where("several").select("group_id")
+    m = m.join(many, "group_id", "left_semi")
     k = kept.select("group_id", F.col("rid").alias("kept_rid"), F.col("primary_key").alias("new_key"))
     return m.join(k, "group_id").where("rid <> kept_rid and old_key <> new_key").select("old_key", "new_key").distinct()
 

@@ -24,8 +24,8 @@ def tree_paths(nodes: DataFrame) -> DataFrame:
         below = cut(n.join(p, ["collection_id", "parent_id"]).select("collection_id", "node_id", path.alias("path"), (F.col("depth") + 1).alias("depth"), "node_type"))
         out.append(below.drop("node_type"))
         level = below.where("node_type = 'FOLDER'").drop("node_type")
-    found = out[0]
-    for more in out[1:]:
+    found = n.where("false").select("collection_id", "node_id", F.lit("").alias("path"), F.lit(0).alias("depth"))
+    for more in out:
         found = found.unionByName(more)
     return found
 
@@ -40,10 +40,11 @@ def summary(nodes: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def name_uniqueness(nodes: DataFrame) -> DataFrame:
-    """(collection_id, node_id, node_name, unique_name) of folders; the root's own name counts as well."""
+    """(collection_id, node_id, node_name, unique_name) of folders, with ``node_path`` where the nodes have it; the root's own name counts as well."""
     w = Window.partitionBy("collection_id", "node_name")
     folders = nodes.where("node_type = 'FOLDER'").withColumn("unique_name", F.count(F.lit(1)).over(w) == 1)
-    return folders.where("parent_id is not null").select("collection_id", "node_id", "node_name", "unique_name")
+    path = ["node_path"] if "node_path" in nodes.columns else []
+    return folders.where("parent_id is not null").select("collection_id", "node_id", *path, "node_name", "unique_name")
 
 
 def path_map(paths: DataFrame) -> DataFrame:
@@ -74,9 +75,23 @@ def ordered_union(base: DataFrame, incoming: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy("node_id", "key").orderBy("src", "pos")
     new = incoming.withColumn("r", F.row_number().over(w)).where("r = 1").join(base.select("node_id", "key").distinct(), ["node_id", "key"], "left_anti")
-    both = base.select("node_id", F.lit(-1).alias("src"), "pos", "key").unionByName(new.select("node_id", "src", "pos", "key"))
-    order = Window.partitionBy("node_id").orderBy("src", "pos")
-    return both.select("node_id", F.row_number().over(order).alias("pos"), "key")
+    both = base.select("node_id", F.lit(False).alias("new"), F.lit(None).cast(new.schema["src"].dataType).alias("src"), "pos", "key")
+    both = both.unionByName(new.select("node_id", F.lit(True).alias("new"), "src", "pos", "key"))
+    return positions_within(both, "node_id", "new", "src", "pos").select("node_id", "pos", "key")
+
+
+def positions_within(rows: DataFrame, group: str, *order: str) -> DataFrame:
+    """Rows with ``pos`` from 1 in each group, by the given columns.
+
+    Rows are range-partitioned by group and order, so one huge group is numbered by many tasks: each counts its own part,
+    and only the sizes of the parts are summed up.
+    """
+    by = [group, *order]
+    ranged = store(rows.repartitionByRange(*by).withColumn("__range", F.spark_partition_id()))
+    sizes = ranged.groupBy(group, "__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.withColumn("__before", F.sum("__n").over(Window.partitionBy(group).orderBy("__range")) - F.col("__n")).select(group, "__range", "__before")
+    inside = ranged.withColumn("__at", F.row_number().over(Window.partitionBy(group, "__range").orderBy(*order)))
+    return inside.join(before, [group, "__range"]).withColumn("pos", (F.col("__before") + F.col("__at")).cast("int")).drop("__range", "__before", "__at")
 
 
 def same_sequence(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tonearm import model
 from tonearm.functions import numbers, paths, text
-from tonearm.operators import cascade, discover, fingerprint, measures, merge, orphans, playlists, reports, rewrite
+from tonearm.operators import cascade, discover, fingerprint, measures, merge, orphans, playlists, rebuild, reconnect, reports, resolve, rewrite
 from tonearm.plans import adapter
 from tonearm.session import cut, table
 from tonearm.streaming import tagcache
@@ -338,7 +338,7 @@ def playlist_summary(spark, d):
 
 
 @query(
-    "SELECT collection_id, node_id, node_name, n = 1 AS unique_name FROM (SELECT *, count(*) OVER (PARTITION BY collection_id, node_name) AS n FROM playlist_nodes WHERE node_type = 'FOLDER') WHERE parent_id IS NOT NULL"
+    "SELECT collection_id, node_id, node_path, node_name, n = 1 AS unique_name FROM (SELECT *, count(*) OVER (PARTITION BY collection_id, node_name) AS n FROM playlist_nodes WHERE node_type = 'FOLDER') WHERE parent_id IS NOT NULL"
 )
 def folder_uniqueness(spark, d):
     return playlists.name_uniqueness(table(spark, d, "playlist_nodes"))
@@ -555,6 +555,87 @@ def merge_validation(spark, d):
     return merge.validate(merge.merged(r, g, merge.survivors(r, g)), r.select(F.col("primary_key").alias("key")))
 
 
+_TR = ", ".join(f"coalesce(t.{a}, '') AS {a}" for a in model.TRACKED)
+_NUM = "regexp_matches({0}, '^\\s*[+-]?(\\d+(\\.\\d*)?|\\.\\d+)([eE][+-]?\\d+)?\\s*$')"
+_RESOLVE = f"""WITH m AS (SELECT DISTINCT c.identity_key AS group_id, c.entry_id AS rid, c.input_idx, t.primary_key, {_TR} FROM conflict_members c JOIN tracks t USING (entry_id) WHERE c.identity_key IS NOT NULL),
+f0 AS (SELECT group_id, count(DISTINCT input_idx) AS inputs, count(*) FILTER (input_idx = 0) AS base_members, count(DISTINCT primary_key) AS keys,
+  CASE WHEN count(*) FILTER (input_idx = 0) = 1 THEN min(primary_key) FILTER (input_idx = 0) ELSE array_to_string(list_sort(list(primary_key)), '|') END AS identity_key,
+  array_to_string(list_filter([{", ".join(f"CASE WHEN count(DISTINCT {a}) > 1 THEN '{a}' END" for a in model.TRACKED)}], lambda x: x IS NOT NULL), ',') AS attrs,
+  {" OR ".join(f"count(DISTINCT {a}) > 1" for a in model.EDITORIAL)} AS editorial, {" AND ".join(f"(count(DISTINCT {a}) = 1 OR bool_and({_NUM.format(a)}))" for a in model.MEASURED)} AS readable,
+  min(rid) AS low, min({{'i': input_idx, 'r': rid}}) AS head, min(rid) FILTER (input_idx = 0) AS base, min({{'i': ORDER_ * input_idx, 'r': rid}}) FILTER (input_idx <> 0) AS other FROM m GROUP BY 1),
+f AS (SELECT *, CASE WHEN inputs < 2 THEN 'single' WHEN attrs = '' THEN 'agree' WHEN NOT editorial AND keys = 1 AND base_members > 0 AND readable THEN 'settled' ELSE 'conflict' END AS state FROM f0),
+said AS (SELECT DISTINCT f.identity_key, m.input_idx, m.primary_key FROM f JOIN m USING (group_id) WHERE f.low % 3 = 0 QUALIFY row_number() OVER (PARTITION BY f.group_id ORDER BY m.rid DESC, m.input_idx) = 1),
+pk AS (SELECT f.group_id, min({{'i': m.input_idx, 'r': m.rid}}) AS picked FROM f JOIN said USING (identity_key) JOIN m ON m.group_id = f.group_id AND m.input_idx = said.input_idx AND m.primary_key = said.primary_key WHERE state = 'conflict' AND USE_ GROUP BY 1),
+w AS (SELECT f.*, picked.r AS picked_rid, CASE WHEN state = 'conflict' AND picked IS NULL AND POLICY_ IS NULL THEN NULL WHEN state = 'single' THEN head.r WHEN base IS NOT NULL THEN base ELSE coalesce(picked.r, other.r) END AS winner,
+  CASE WHEN state = 'conflict' THEN CASE WHEN picked IS NOT NULL THEN picked.i || ':' || (SELECT min(primary_key) FROM m WHERE m.rid = picked.r AND m.group_id = f.group_id) ELSE coalesce(POLICY_, 'unresolved') END END AS resolution FROM f LEFT JOIN pk USING (group_id)),
+o AS (SELECT w.*, m.input_idx AS winner_input, m.primary_key AS winner_key FROM w LEFT JOIN m ON m.group_id = w.group_id AND m.rid = w.winner
+  QUALIFY row_number() OVER (PARTITION BY w.group_id ORDER BY CASE WHEN w.base IS NOT NULL AND m.input_idx = 0 THEN 0 ELSE 1 END, m.input_idx) = 1)
+"""
+
+
+def _resolve_sql(policy: str | None, picks: bool) -> str:
+    return _RESOLVE.replace("ORDER_", "-1" if policy == "keep-last" else "1").replace("POLICY_", f"'{policy}'" if policy else "CAST(NULL AS VARCHAR)").replace("USE_", "TRUE" if picks else "FALSE")
+
+
+def _members(spark, d):
+    """Members of the contested groups of the library, with picks for a third of them: the member with the greatest id."""
+    c = table(spark, d, "conflict_members").where("identity_key is not null").select(F.col("identity_key").alias("group_id"), F.col("entry_id").alias("rid"), "input_idx").distinct()
+    t = table(spark, d, "tracks").select(F.col("entry_id").alias("rid"), "primary_key", *model.TRACKED)
+    return resolve.members_of(c.join(t, "rid").drop("group_id"), c.select("rid", "group_id").distinct())
+
+
+def _picks(members):
+    facts = merge.group_facts(members.drop("group_id"), members.select("rid", "group_id")).select("group_id", "identity_key")
+    last = members.groupBy("group_id").agg(F.min("rid").alias("low"), F.max_by(F.struct("input_idx", "primary_key"), F.struct("rid", -F.col("input_idx"))).alias("p")).where("low % 3 = 0")
+    return facts.join(last, "group_id").select("identity_key", "p.input_idx", "p.primary_key")
+
+
+@query(_resolve_sql("keep-last", True) + "SELECT group_id, identity_key, state, attrs, resolution, winner AS winner_rid, winner_input, winner_key, coalesce(winner_input <> 0, FALSE) AS adds FROM o")
+def merge_resolved(spark, d):
+    members = _members(spark, d)
+    return resolve.resolve(members, _picks(members), "keep-last").select("group_id", "identity_key", "state", "attrs", "resolution", "winner_rid", "winner_input", "winner_key", "adds")
+
+
+@query(
+    _resolve_sql("keep-first", True)
+    + "SELECT winner AS rid, winner_key AS primary_key, u.attr, u.value FROM o JOIN m ON m.group_id = o.group_id AND m.rid = o.picked_rid, LATERAL (VALUES "
+    + ", ".join(f"('{a}', m.{a})" for a in model.TRACKED) + ") u(attr, value) WHERE o.state <> 'single' AND o.base IS NOT NULL AND picked_rid <> o.base AND list_contains(string_split(attrs, ','), u.attr)"
+)
+def entry_patches(spark, d):
+    members = _members(spark, d)
+    return resolve.entry_patches(members, resolve.resolve(members, _picks(members), "keep-first"))
+
+
+@query(_resolve_sql("keep-first", False) + "SELECT DISTINCT m.primary_key AS key FROM m JOIN o USING (group_id) WHERE m.input_idx <> 0 AND inputs > 1 AND base_members > 1")
+def ambiguous_keys(spark, d):
+    members = _members(spark, d)
+    return resolve.ambiguous_keys(members, resolve.resolve(members, None, "keep-first"))
+
+
+@query(_resolve_sql(None, True) + "SELECT 'conflicts_outstanding' AS reason, count(*) AS groups FROM o WHERE resolution = 'unresolved' HAVING count(*) > 0")
+def run_refusals(spark, d):
+    members = _members(spark, d)
+    return resolve.refusals(resolve.resolve(members, _picks(members)))
+
+
+@query(_resolve_sql(None, False) + "SELECT o.group_id, u.attr, min(u.value) AS value FROM o JOIN m USING (group_id), LATERAL (VALUES " + ", ".join(f"('{a}', m.{a})" for a in model.TRACKED) + ") u(attr, value) WHERE state = 'conflict' AND NOT list_contains(string_split(attrs, ','), u.attr) GROUP BY 1, 2")
+def agreed_attributes(spark, d):
+    members = _members(spark, d)
+    return resolve.agreed(members, resolve.resolve(members))
+
+
+@query(
+    _match_sql("strict")
+    + f""", crowd AS (SELECT rank, key FROM kn GROUP BY ALL HAVING count(*) > 1), r AS (SELECT DISTINCT rid FROM ko JOIN crowd USING (rank, key)),
+z AS (SELECT *, outcome = 'matched' AND count(*) OVER (PARTITION BY new_rid, outcome) > 1 AS lost FROM won)
+SELECT z.rid, z.primary_key, artist, title, array_to_string({_PARTS.format('old')}, '/') || '/' || file AS old_path, CASE WHEN lost THEN 'destination_collision' ELSE outcome END AS outcome,
+  CASE WHEN outcome = 'matched' AND NOT lost THEN tier END AS tier, CASE WHEN outcome = 'matched' AND NOT lost THEN new_rid END AS new_rid, CASE WHEN outcome = 'matched' AND NOT lost THEN new_key END AS new_key,
+  CASE WHEN lost THEN 'destination_collision' WHEN outcome = 'matched' THEN NULL WHEN r.rid IS NOT NULL THEN 'ambiguous' ELSE 'unmatched' END AS reason FROM z JOIN old ON old.rid = z.rid LEFT JOIN r ON r.rid = z.rid"""
+)
+def reconnect_resolved(spark, d):
+    return reconnect.resolve(*_pair(spark, d), "strict")
+
+
 # --- lists, discovery, fingerprints, measurements ---------------------------------------------------
 
 _LINES = "SELECT p_partkey AS line, CASE WHEN p_partkey % 13 = 0 THEN '' WHEN p_partkey % 11 = 0 THEN '# ' || p_name WHEN p_partkey % 7 = 0 THEN p_partkey || ' ' || p_name ELSE p_partkey || ' - ' || p_brand || ' - ' || p_name END AS raw FROM part"
