@@ -52,13 +52,13 @@ def reconstruct(base: DataFrame, base_entries: DataFrame, incoming: DataFrame, i
     numbered = playlists.ordered_union(held.limit(0), first.withColumn("pos", F.lit(0)))
     same = playlists.same_sequence(held_numbers(held), numbered)
     changed = store(met.select(F.col("base_id").alias("node_id")).distinct().join(same.where("same"), "node_id", "left_anti"))
-    union = held.select("node_id", F.struct(F.lit(-1).cast("int").alias("src"), F.lit(0).cast("long").alias("n"), F.col("pos")).alias("src"), F.lit(0).alias("pos"), "key")
-    fresh = first.join(held.select("node_id", "key").distinct(), ["node_id", "key"], "left_anti").withColumn("pos", F.lit(0)).select("node_id", "src", "pos", "key")
-    rows = union.withColumn("fresh", F.lit(False)).unionByName(fresh.withColumn("fresh", F.lit(True))).join(changed, "node_id", "left_semi")
+    union = held.select("node_id", F.lit(False).alias("fresh"), F.lit(None).cast(theirs.schema["src"].dataType).alias("src"), "pos", "key")
+    fresh = first.join(held.select("node_id", "key").distinct(), ["node_id", "key"], "left_anti").select("node_id", F.lit(True).alias("fresh"), "src", F.lit(0).alias("pos"), "key")
+    rows = union.unionByName(fresh).join(changed, "node_id", "left_semi")
     rows = store(rows.join(valid.select("key", F.lit(True).alias("known")).distinct(), "key", "left"))
-    kept = rows.where("known").select("node_id", "src", "key", "fresh")
+    kept = rows.where("known").select("node_id", "src", F.col("pos").alias("place"), "key", "fresh")
     unclear = theirs.where("unclear").select("node_id", "key").distinct().withColumn("unclear", F.lit(True))
-    numbers = playlists.positions_within(kept, "node_id", "src")
+    numbers = playlists.positions_within(kept, "node_id", "fresh", "src", "place")
     counts = kept.join(unclear, ["node_id", "key"], "left").groupBy("node_id").agg(
         F.count(F.lit(1)).alias("entries"), F.count_if("fresh").alias("added"), F.count_if(F.coalesce("unclear", F.lit(False))).alias("on_duplicated")
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tonearm import model
@@ -458,6 +458,41 @@ def split_fail_errors(spark, d):
     return playlists.dropped(entries, table(spark, d, "tracks").select(F.col("primary_key").alias("key")))
 
 
+_REBUILT = """WITH bn AS (SELECT node_id, node_path AS path, node_name AS name FROM playlist_nodes WHERE node_type = 'PLAYLIST' AND collection_id = 'col-main' QUALIFY count(*) OVER (PARTITION BY node_path) = 1),
+i AS (SELECT collection_id AS src, node_id, node_path AS path, node_name AS name FROM playlist_nodes WHERE node_type = 'PLAYLIST' AND collection_id <> 'col-main' QUALIFY count(*) OVER (PARTITION BY collection_id, node_path) = 1),
+pr AS (SELECT bn.node_id AS base_id, i.src, i.node_id FROM bn JOIN i USING (path) UNION ALL
+  SELECT b.base_id, x.src, x.node_id FROM (SELECT name, min(node_id) AS base_id, min(path) AS path FROM bn GROUP BY 1 HAVING count(*) = 1) b JOIN (SELECT name, min(src) AS src, min(node_id) AS node_id FROM i GROUP BY 1 HAVING count(*) = 1) x USING (name) WHERE b.path NOT IN (SELECT path FROM i)),
+e AS (SELECT collection_id, node_id, row_number() OVER (PARTITION BY collection_id, node_id ORDER BY pos, ref_id) AS pos, coalesce(primary_key, '') AS key FROM playlist_entries),
+be AS (SELECT node_id, pos, key FROM e WHERE collection_id = 'col-main'),
+th AS (SELECT base_id AS node_id, key, min({'s': pr.src, 'n': pr.node_id, 'p': e.pos}) AS src FROM pr JOIN e ON e.collection_id = pr.src AND e.node_id = pr.node_id GROUP BY 1, 2),
+lb AS (SELECT node_id, list(key ORDER BY pos) AS k FROM be GROUP BY 1), lt AS (SELECT node_id, list(key ORDER BY src) AS k FROM th GROUP BY 1),
+ch AS (SELECT DISTINCT base_id AS node_id FROM pr LEFT JOIN lb ON lb.node_id = base_id LEFT JOIN lt ON lt.node_id = base_id WHERE coalesce(lb.k, []) <> coalesce(lt.k, [])),
+u AS (SELECT node_id, 0 AS fresh, key FROM be UNION ALL SELECT node_id, 1, key FROM th WHERE (node_id, key) NOT IN (SELECT node_id, key FROM be)),
+kept AS (SELECT u.* FROM u JOIN ch USING (node_id) WHERE key IN (SELECT primary_key FROM tracks WHERE removed_at IS NULL AND primary_key IS NOT NULL))
+SELECT ch.node_id, bn.path, count(kept.key) AS entries, count(kept.key) FILTER (fresh = 1) AS added, ch.node_id NOT IN (SELECT node_id FROM be) AS was_empty FROM ch JOIN bn USING (node_id) LEFT JOIN kept USING (node_id) GROUP BY 1, 2"""
+
+
+def _rebuilt(spark, d):
+    """The playlists of the main collection rebuilt from those of all others; paths that stand twice are left out, since they stop a run."""
+    n = table(spark, d, "playlist_nodes").where("node_type = 'PLAYLIST'").select("collection_id", "node_id", F.col("node_path").alias("path"), F.col("node_name").alias("name"))
+    once = n.groupBy("collection_id", "path").agg(F.count(F.lit(1)).alias("c")).where("c = 1").drop("c")
+    n = cut(n.join(once, ["collection_id", "path"], "left_semi"))
+    w = Window.partitionBy("collection_id", "node_id").orderBy("pos", "ref_id")
+    e = table(spark, d, "playlist_entries").select("collection_id", "node_id", F.row_number().over(w).alias("pos"), F.coalesce("primary_key", F.lit("")).alias("key"))
+    main = F.col("collection_id") == "col-main"
+    valid = table(spark, d, "tracks").where("removed_at is null and primary_key is not null").select(F.col("primary_key").alias("key"))
+    none = valid.limit(0)
+    return rebuild.reconstruct(
+        n.where(main).drop("collection_id"), e.where(main).drop("collection_id"), n.where(~main).withColumnRenamed("collection_id", "src"), e.where(~main).withColumnRenamed("collection_id", "src"),
+        none.select(F.col("key").alias("old_key"), F.col("key").alias("new_key")), valid, none,
+    )
+
+
+@query(_REBUILT)
+def playlist_rebuilt_counts(spark, d):
+    return _rebuilt(spark, d)["counts"].select("node_id", "path", "entries", "added", "was_empty")
+
+
 # --- merge -----------------------------------------------------------------------------------------
 
 _GROUPED = f"""WITH RECURSIVE {adapter.MERGE},
