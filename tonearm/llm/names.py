@@ -159,8 +159,8 @@ def one_slip(a: str, b: str) -> bool:
 _FORM = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("near", "form", "rule")]))
 
 
-#: Forms of a name with those that lack a character, about.
-FORMS_PER_NAME = 200
+#: Forms of a known and of a typed name with those that lack a character, about.
+FORMS_PER_NAME, FORMS_PER_TYPED = 200, 20
 
 
 def _forms_udf(make):
@@ -187,7 +187,7 @@ def link_names(typed: DataFrame, known: DataFrame, known_id: str, known_name: st
     rarity = lists.where("near = form").groupBy("form").agg(F.count_distinct("id").alias("shared"))
     lists = lists.join(rarity, "form").select("id", "near", F.col("form").alias("known_form"), F.col("rule").alias("known_rule"), "shared")
     open_names = cut(typed.join(exact, "name", "left_anti").select("name"))
-    asked = mojibake.spread(open_names, FORMS_PER_NAME).select("name", F.inline(_forms_udf(typed_forms)("name")))
+    asked = mojibake.spread(open_names, FORMS_PER_TYPED).select("name", F.inline(_forms_udf(typed_forms)("name")))
     met = asked.join(lists, "near").select("name", "form", "rule", "id", "known_form", "known_rule", "shared").distinct()
 
     @F.pandas_udf(T.BooleanType())
