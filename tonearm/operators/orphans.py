@@ -1,9 +1,10 @@
 """References to records that do not exist.
 
-Keys are encoded as integers. Per key range (32,768 codes) and month a bitmap holds the
-codes that are referenced, and a running OR over months holds the codes that are live
-through a whole month. Reference AND-NOT parent leaves the codes that can have an orphan
-in that month; only those are decoded and settled by a sweep over exact times.
+Keys are encoded as integers. Per key range (32,768 codes) and month there is a compressed
+bitmap of the codes that are referenced and one of the codes that from that month on are live
+through whole months; only these small bitmaps travel to where a range is put together. There
+a running OR over the months gives the parents, and reference AND-NOT parent the codes that
+can have an orphan in that month; only those are decoded and settled by a sweep over exact times.
 """
 
 from __future__ import annotations
@@ -48,10 +49,22 @@ def _bits(packed: bytes | None) -> np.ndarray:
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def and_not(refs: pd.Series, parents: pd.Series) -> pd.Series:
-    """Positions set in the first bitmap and not in the second."""
-    return pd.Series([np.flatnonzero(_bits(r) & ~_bits(p)).astype("int32") for r, p in zip(refs, parents, strict=True)])
+def doubtful_codes(ranges: pd.DataFrame) -> pd.DataFrame:
+    """(code, period) of one key range that its references hold and its parents do not.
+
+    ``ranges`` has (part, period, asked, live) with compressed bitmaps; period -1 stands apart from the months.
+    """
+    codes, periods = [], []
+    live = np.zeros(1 << RANGE_BITS, bool)
+    for part, period, asked, fresh in ranges.sort_values("period")[["part", "period", "asked", "live"]].itertuples(index=False):
+        now = _bits(fresh)
+        if period >= 0:
+            live |= now
+            now = live
+        left = np.flatnonzero(_bits(asked) & ~now)
+        codes.append((int(part) << RANGE_BITS) + left)
+        periods.append(np.full(len(left), period, np.int32))
+    return pd.DataFrame({"code": np.concatenate(codes) if codes else [], "period": np.concatenate(periods) if periods else []})
 
 
 def encode_keys(*keyed: DataFrame) -> DataFrame:
@@ -79,31 +92,18 @@ def orphan_refs(refs: DataFrame, lives: DataFrame) -> DataFrame:
     """
     bucket, bit = (lambda c: F.shiftright(c, RANGE_BITS)), (lambda c: c.bitwiseAND(F.lit((1 << RANGE_BITS) - 1)))
     refs = refs.withColumn("period", F.coalesce(_month(F.col("at")), F.lit(-1)))
-    asked = (
-        refs.where("code is not null")
-        .groupBy(bucket(F.col("code")).alias("part"), "period")
-        .agg(F.bitmap_construct_agg(bit(F.col("code"))).alias("bits"))
+    none = F.lit(None).cast("int")
+    place = lambda df, side: df.where("code is not null").select(
+        bucket(F.col("code")).alias("part"), "period", *[(bit(F.col("code")).cast("int") if s == side else none).alias(s) for s in ("asked", "live")]
     )
     # Codes with a row that is never removed, by the month after it was loaded: from then on live.
-    lasting = lives.where("until is null and since is not null and code is not null").select(
-        "code", (_month(F.col("since")) + 1).alias("period")
-    )
-    known = lives.where("code is not null").select("code", F.lit(-1).alias("period"))
-    base = (
-        lasting.unionByName(known)
-        .groupBy(bucket(F.col("code")).alias("part"), "period")
-        .agg(F.bitmap_construct_agg(bit(F.col("code"))).alias("bits"))
-    )
-    # Running OR in one pass: months of either side in order; period -1 stands apart.
-    steps = asked.select("part", "period", F.col("bits").alias("asked"), F.lit(None).cast("binary").alias("live")).unionByName(
-        base.select("part", "period", F.lit(None).cast("binary").alias("asked"), F.col("bits").alias("live"))
-    )
-    steps = steps.groupBy("part", "period").agg(F.bitmap_or_agg("asked").alias("asked"), F.bitmap_or_agg("live").alias("live"))
-    running = Window.partitionBy("part", F.col("period") >= 0).orderBy("period").rowsBetween(Window.unboundedPreceding, 0)
-    steps = steps.withColumn("live", F.bitmap_or_agg("live").over(running)).where(F.bitmap_count("asked") > 0)
-    left = steps.select("part", "period", F.explode(and_not(pack("asked"), pack("live"))).alias("bit")).select(
-        (F.shiftleft("part", RANGE_BITS) + F.col("bit")).alias("code"), "period"
-    )
+    lasting = lives.where("until is null and since is not null").select("code", (_month(F.col("since")) + 1).alias("period"))
+    known = lives.select("code", F.lit(-1).alias("period"))
+    # Each place once, before a range and month is put together: a hot key is one place however often it is referred to.
+    places = place(refs, "asked").unionByName(place(lasting.unionByName(known), "live")).distinct().repartition("part", "period")
+    maps = places.groupBy("part", "period").agg(F.bitmap_construct_agg("asked").alias("asked"), F.bitmap_construct_agg("live").alias("live"))
+    maps = maps.select("part", "period", pack("asked").alias("asked"), pack("live").alias("live"))
+    left = maps.groupBy("part").applyInPandas(doubtful_codes, "code long, period int")
     left = cut(left)
 
     doubtful = refs.join(left, ["code", "period"])
@@ -141,9 +141,9 @@ def library_orphans(tracks: DataFrame, playlist_entries: DataFrame, match_pairs:
     lives = tracks.select(*key, "entry_id", F.col("loaded_at").alias("since"), F.col("removed_at").alias("until"))
     entries = playlist_entries.select(*key, "ref_id", F.col("added_at").alias("at"))
     codes = encode_keys(entries.select(key), lives.select(key))
-    listed = orphan_refs(
-        entries.join(codes, key, "left").select("code", "at", "ref_id"), lives.join(codes, key).select("code", "since", "until")
-    )
+    # The coded rows are thin; they are written, since the bitmaps and the sweep both read them.
+    coded = store(entries.join(codes, key, "left").select("code", "at", "ref_id"))
+    listed = orphan_refs(coded, store(lives.join(codes, key).select("code", "since", "until")))
     ends = match_pairs.select(
         F.col("pair_id").alias("ref_id"), F.col("matched_at").alias("at"), F.explode(F.array("left_id", "right_id")).alias("code")
     )
