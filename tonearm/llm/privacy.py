@@ -334,12 +334,13 @@ def personal_details(documents: DataFrame, artists: DataFrame) -> DataFrame:
     return disclosed(store(candidates(documents, artists)))
 
 
-def sanitised(documents: DataFrame, artists: DataFrame) -> DataFrame:
+def sanitised(documents: DataFrame, artists: DataFrame, details: DataFrame | None = None) -> DataFrame:
     """(doc_id, text) with every piece replaced by a placeholder of its kind, at its own place in the text; texts without one stay as they are.
 
-    Rows are kept one to one: nulls and repeated doc_ids too.
+    Rows are kept one to one: nulls and repeated doc_ids too. ``details`` are the personal details, if they are known already.
     """
-    found = personal_details(documents, artists).groupBy("doc_id").agg(F.collect_list(F.struct("matched_text", "pii_kind")).alias("found"))
+    details = personal_details(documents, artists) if details is None else details
+    found = details.groupBy("doc_id").agg(F.collect_list(F.struct("matched_text", "pii_kind")).alias("found"))
 
     def swap(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tonearm.llm import crossmatch, identity, leakage, lookalikes, mojibake, names, packing, privacy, survivor
-from tonearm.session import table
+from tonearm.session import cut, store, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -63,6 +64,20 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.containers(packing.pack(table(spark, d, "documents")))
 
 
+def p8_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """What holds of any right packing, as one row: every text with a token is packed, in whole pieces, under every limit."""
+    limits = packing.Limits()
+    packed = cut(packing.pack(table(spark, d, "documents")))
+    loads = packing.containers(packed, limits).agg(
+        F.count_if(F.col("tokens") > limits.tokens).alias("over_tokens"), F.count_if(F.col("segments") > limits.segments).alias("over_segments"), F.count_if(F.col("loss_tokens") > limits.loss).alias("over_loss"),
+    )
+    texts = packed.groupBy("doc_id").agg(F.count("container_id").alias("pieces"), F.sum("tokens").alias("tokens"), F.max(F.col("first_token") + F.col("tokens")).alias("end"))
+    texts = texts.agg(
+        F.count(F.lit(1)).alias("texts"), F.count_if(F.col("pieces") == 0).alias("without_container"), F.count_if((F.col("pieces") > 1) & (F.col("tokens") <= limits.tokens)).alias("split_needlessly"), F.count_if((F.col("pieces") > 0) & (F.col("tokens") != F.col("end"))).alias("broken"),
+    )
+    return texts.withColumn("k", F.lit(1)).join(loads.withColumn("k", F.lit(1)), "k").drop("k")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -75,11 +90,24 @@ def p10_sanitised(spark: SparkSession, d: str) -> DataFrame:
     return privacy.sanitised(table(spark, d, "documents"), table(spark, d, "artists"))
 
 
+def p10_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """What holds of any right sanitising, as one row: all rows are there, nulls stay null, only texts with a piece change, no found piece with an @ is left."""
+    documents, artists = table(spark, d, "documents"), table(spark, d, "artists")
+    found = store(privacy.personal_details(documents, artists))
+    clean = privacy.sanitised(documents, artists, found).withColumnRenamed("text", "clean")
+    mails = found.where("pii_kind = 'email' and matched_text like '%@%'").groupBy("doc_id").agg(F.collect_list("matched_text").alias("mails"))
+    both = documents.select("doc_id", "text").join(clean, "doc_id").join(found.select("doc_id", F.lit(True).alias("held")).distinct(), "doc_id", "left").join(mails, "doc_id", "left")
+    return both.agg(
+        F.count(F.lit(1)).alias("texts"), F.count_if(F.col("clean").isNull()).alias("nulls"), F.count_if(F.col("held").isNull() & ~F.col("text").eqNullSafe(F.col("clean"))).alias("changed_without_cause"),
+        F.count_if(F.col("held") & (F.col("text") == F.col("clean"))).alias("unchanged_with_cause"), F.count_if(F.exists("mails", lambda m: F.contains(F.col("clean"), m))).alias("mails_left"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p1_found, p3_found, p3_survivors, p4_found, p5_found, p5_scored, p6_found, p6_restored, p7_found, p7_scored,
-        p8_packed, p8_containers, p9_found, p10_found, p10_sanitised,
+        p8_packed, p8_containers, p8_invariants, p9_found, p10_found, p10_sanitised, p10_invariants,
     )
 }
 ORACLE: dict[str, str] = {}
@@ -112,3 +140,7 @@ SELECT identity_key, a.val AS album, a.entry_id AS album_entry_id, r.val AS bitr
 FROM (SELECT DISTINCT identity_key FROM m) LEFT JOIN (SELECT * FROM b WHERE attr = 'album') a USING (identity_key)
 LEFT JOIN (SELECT * FROM b WHERE attr = 'bitrate') r USING (identity_key)
 """
+ORACLE["p8_invariants"] = """
+SELECT count(*) AS texts, count(*) FILTER (coalesce(text, '') = '') AS without_container, 0 AS split_needlessly, 0 AS broken, 0 AS over_tokens, 0 AS over_segments, 0 AS over_loss FROM documents
+"""
+ORACLE["p10_invariants"] = "SELECT count(*) AS texts, count(*) FILTER (text IS NULL) AS nulls, 0 AS changed_without_cause, 0 AS unchanged_with_cause, 0 AS mails_left FROM documents"
