@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from conftest import rows
 
@@ -76,3 +78,20 @@ def test_levels_and_labels():
         model.admitted("any")
     assert [model.confidence_label(t) for t in (None, "audio_id", "path_suffix_3", "artist_title", "fingerprint")] == ["None", "Strong", "Good", "Weak", "Weak"]
     assert "artist_title" not in model.tag_free("filename")
+
+
+@pytest.mark.parametrize(("refute", "cross"), [(True, False), (True, True), (False, False)])
+def test_hot_keys_give_what_all_pairs_give(spark, monkeypatch, refute, cross):
+    """Keys read by bands of classes against the same keys read record by record: nulls, zeros, repeats and synced copies among them."""
+    rng = random.Random(11)
+    cols = "rid long, primary_key string, audio_id string, artist string, title string, album string, filesize string, playtime_float string, file string, dir string, from_disk boolean"
+    size = lambda: rng.choice(["1000", "1019", "1021", "1500", "0", "", None, "x", "-4", "990.5"])
+    time = lambda: rng.choice(["100.0", "100.9", "101.1", "116", "86", "0", "", None, "0.5", "-1"])
+    make = lambda i, disk: (i, f"k{i}", rng.choice(["a", "", None]), rng.choice(["A", "B"]), "T", "", size(), time(), rng.choice(["x.mp3", "y.mp3", "z.mp3"]), rng.choice(["/:p/:", "/:q/:Sync_/:", "/:Sync_old/:"]) if i % 17 == 0 else "/:p/:", disk)
+    old, new = spark.createDataFrame([make(i, False) for i in range(160)], cols), spark.createDataFrame([make(1000 + i, cross) for i in range(70)], cols)
+    got = {}
+    for limit in (10_000, 0, 5):
+        monkeypatch.setattr(cascade, "HOT", limit)
+        got[limit] = rows(cascade.match(old, new, "filename", refute))
+    assert got[0] == got[10_000] and got[5] == got[10_000]
+    assert len({r[2] for r in got[0]}) >= 2

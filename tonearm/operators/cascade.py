@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonearm import model
 from tonearm.functions import paths
 from tonearm.functions.numbers import number
+from tonearm.session import store
 
 _JOIN = "\x1f"
 
@@ -61,7 +62,7 @@ def tier_keys(records: DataFrame, level: str = "strict") -> DataFrame:
 def refutes(size_a: Column, size_b: Column, time_a: Column, time_b: Column, cross: Column) -> Column:
     """Whether size or time shows that two records are not one. What is absent refutes nothing; size never across sources."""
     top = F.greatest(size_a, size_b)
-    by_size = ~cross & (top > 0) & (F.abs(size_a - size_b) / top > model.SIZE_SHARE)
+    by_size = ~cross & (top > 0) & (F.try_divide(F.abs(size_a - size_b), top) > model.SIZE_SHARE)
     allowed = F.when(cross, F.greatest(F.lit(model.SECONDS), model.CROSS_TIME_SHARE * F.greatest(time_a, time_b))).otherwise(F.lit(model.SECONDS))
     by_time = F.abs(time_a - time_b) > allowed
     return F.coalesce(by_size, F.lit(False)) | F.coalesce(by_time, F.lit(False))
@@ -69,32 +70,104 @@ def refutes(size_a: Column, size_b: Column, time_a: Column, time_b: Column, cros
 
 def size_agrees(a: Column, b: Column) -> Column:
     top = F.greatest(a, b)
-    return F.coalesce((top > 0) & (F.abs(a - b) / top <= model.SIZE_SHARE), F.lit(False))
+    return F.coalesce((top > 0) & (F.try_divide(F.abs(a - b), top) <= model.SIZE_SHARE), F.lit(False))
 
 
-def candidates(old: DataFrame, new: DataFrame, level: str, refute: bool = True, providers: DataFrame | None = None) -> DataFrame:
-    """Every (old record, tier, new record) that shares a key, after the preferred-copy rule, with its verdicts.
-
-    ``providers`` (rid, side, tier, key) adds keys of rank 0; side is `old` or `new`. A null key adds nothing.
-    """
+def _sides(old: DataFrame, new: DataFrame, level: str, providers: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Keyed rows of both sides; on the new side the preferred-copy rule is done: where a key has a stale copy and one
+    synced copy, only the synced one stays. It looks at the key alone, so it is settled before any record is joined."""
     cols = ["rank", "tier", "key"]
     a, b = tier_keys(old, level), tier_keys(new, level)
     if providers is not None:
         for side in ("old", "new"):
             base = with_parts(old if side == "old" else new).select("rid", "primary_key", "kb", "sec", "from_disk", "parts")
-            extra = base.join(providers.where(F.col("side") == side).select("rid", F.lit(0).alias("rank"), "tier", "key"), "rid")
+            extra = base.join(providers.where((F.col("side") == side) & F.col("key").isNotNull()).select("rid", F.lit(0).alias("rank"), "tier", "key"), "rid")
             a, b = (a.unionByName(extra), b) if side == "old" else (a, b.unionByName(extra))
     a = a.select(*cols, *[F.col(c).alias("o_" + c) for c in ("rid", "primary_key", "kb", "sec", "from_disk")])
     b = b.select(
         *cols, *[F.col(c).alias("n_" + c) for c in ("rid", "primary_key", "kb", "sec", "from_disk")],
         F.array_contains("parts", "Sync_old").alias("stale"), F.array_contains("parts", "Sync_").alias("synced"),
     )
-    w = Window.partitionBy("o_rid", "rank")
-    met = a.join(b, cols).withColumn("any_stale", F.max("stale").over(w)).withColumn("n_synced", F.sum(F.col("synced").cast("int")).over(w))
-    met = met.where(~(F.col("any_stale") & (F.col("n_synced") == 1)) | F.col("synced"))
+    ruled = b.where("stale or synced").groupBy(*cols).agg(F.bool_or("stale").alias("any_stale"), F.count_if("synced").alias("n_synced")).where("any_stale and n_synced = 1")
+    b = b.join(ruled.select(*cols, F.lit(True).alias("ruled")), cols, "left").where("ruled is null or synced").drop("ruled", "stale", "synced")
+    return a, b
+
+
+def _against(tier: Column, refute: bool) -> Column:
+    cross = F.col("o_from_disk") != F.col("n_from_disk")
+    return refutes(F.col("o_kb"), F.col("n_kb"), F.col("o_sec"), F.col("n_sec"), cross) & F.lit(refute) & ~tier.isin(*model.NOT_REFUTABLE)
+
+
+def candidates(old: DataFrame, new: DataFrame, level: str, refute: bool = True, providers: DataFrame | None = None) -> DataFrame:
+    """Every (old record, tier, new record) that shares a key, after the preferred-copy rule, with its verdicts.
+
+    For reports that list them: a key that many records of both sides share gives all their pairs; ``match`` does
+    without them. ``providers`` (rid, side, tier, key) adds keys of rank 0; side is `old` or `new`. A null key adds nothing.
+    """
+    a, b = _sides(old, new, level, providers)
+    met = a.join(b, ["rank", "tier", "key"])
+    return met.withColumn("refuted", _against(F.col("tier"), refute)).withColumn("agrees", size_agrees(F.col("o_kb"), F.col("n_kb")))
+
+
+#: New records of one key from which on the key is read by bands of size and time instead of record by record.
+HOT = 64
+#: Widths of the bands: logarithm of the size and of the time.
+SIZE_BAND, TIME_BAND = 0.05, 0.2
+
+
+def _size_band(kb: Column) -> Column:
+    return F.when(kb > 0, F.floor(F.log(kb) / SIZE_BAND).cast("int")).otherwise(-1_000_000)
+
+
+def _time_band(sec: Column) -> Column:
+    return F.floor(F.log1p(F.greatest(sec, F.lit(0.0))) / TIME_BAND).cast("int")
+
+
+def _hot_counts(a: DataFrame, b: DataFrame, refute: bool) -> DataFrame:
+    """What ``match`` counts of each old record and tier, for keys with very many records.
+
+    Records that agree in size, time and source are one class on either side. Classes meet in bands of time (which hold
+    all that time does not refute) and of size (which hold all that size agrees with); what has nothing to be refuted by
+    is counted as it stands. So the work grows with the readings that lie near each other, not with the pairs.
+    """
+    cols, read = ["rank", "tier", "key"], ["kb", "sec", "from_disk"]
+    old = a.groupBy(*cols, *["o_" + c for c in read]).agg(F.count(F.lit(1)).alias("o_n")).drop("o_n")
+    one = F.struct("n_rid", "n_primary_key")
+    new = store(b.groupBy(*cols, *["n_" + c for c in read]).agg(F.count(F.lit(1)).alias("n"), F.min(one).alias("one")))
+    old = store(old)
+    refutable = F.lit(refute) & ~F.col("tier").isin(*model.NOT_REFUTABLE)
+    who = [*cols, *["o_" + c for c in read]]
+    tally = lambda rows, kept, agreeing: rows.select(
+        *who, F.when(kept, F.col("n")).otherwise(0).alias("kept"), F.when(kept, F.col("one")).alias("only"), F.when(agreeing, F.col("n")).otherwise(0).alias("agreeing"), F.when(agreeing, F.col("one")).alias("agreed"),
+    )
+    timed = F.col("o_sec").isNotNull() & F.col("n_sec").isNotNull()
     cross = F.col("o_from_disk") != F.col("n_from_disk")
-    against = refutes(F.col("o_kb"), F.col("n_kb"), F.col("o_sec"), F.col("n_sec"), cross) & F.lit(refute) & ~F.col("tier").isin(*model.NOT_REFUTABLE)
-    return met.withColumn("refuted", against).withColumn("agrees", size_agrees(F.col("o_kb"), F.col("n_kb")))
+    fine = ~_against(F.col("tier"), refute)
+    # Both have a time: a second, or across sources the greater of it and a share.
+    wide = F.greatest(F.lit(model.SECONDS), F.lit(model.CROSS_TIME_SHARE / (1 - model.CROSS_TIME_SHARE)) * F.abs("o_sec"))
+    bands = F.sequence(_time_band(F.col("o_sec") - wide), _time_band(F.col("o_sec") + wide))
+    t = old.where(F.col("o_sec").isNotNull() & refutable).withColumn("band", F.explode(bands)).join(new.where("n_sec is not null").withColumn("band", _time_band(F.col("n_sec"))), [*cols, "band"])
+    by_time = tally(t.where(fine), F.lit(True), F.lit(False))
+    # Both have a size: what agrees in it, and, where a time is missing, what it does not refute.
+    near = F.array_distinct(F.array(*[_size_band(F.col("o_kb") * f) for f in (1 - model.SIZE_SHARE, 1.0, 1 / (1 - model.SIZE_SHARE))]))
+    s = old.where("o_kb is not null").withColumn("band", F.explode(near)).join(new.where("n_kb is not null").withColumn("band", _size_band(F.col("n_kb"))), [*cols, "band"])
+    by_size = tally(s.where(fine), refutable & ~timed & ~cross, size_agrees(F.col("o_kb"), F.col("n_kb")))
+    # Nothing speaks against the rest: no time in common, and no size that counts.
+    kinds = new.groupBy(*cols, F.col("n_from_disk"), F.col("n_sec").isNull().alias("no_sec"), F.col("n_kb").isNull().alias("no_kb")).agg(F.sum("n").alias("n"), F.min("one").alias("one"))
+    free = old.join(kinds, cols).where((F.col("o_sec").isNull() | F.col("no_sec")) & (cross | F.col("o_kb").isNull() | F.col("no_kb")) & refutable)
+    by_none = tally(free, F.lit(True), F.lit(False))
+    all_of_them = tally(old.where(~refutable).join(new.groupBy(*cols).agg(F.sum("n").alias("n"), F.min("one").alias("one")), cols), F.lit(True), F.lit(False))
+    sums = by_time.unionByName(by_size).unionByName(by_none).unionByName(all_of_them).groupBy(*who).agg(
+        F.sum("kept").alias("kept"), F.min("only").alias("only"), F.sum("agreeing").alias("agreeing"), F.min("agreed").alias("agreed")
+    )
+    total = new.groupBy(*cols).agg(F.sum("n").alias("total"))
+    rows = a.join(total, cols).alias("l").join(
+        sums.alias("r"), [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) if c in ("o_kb", "o_sec") else F.col(f"l.{c}") == F.col(f"r.{c}") for c in who], "left"
+    )
+    kept = F.coalesce("r.kept", F.lit(0))
+    return rows.select(
+        "l.o_rid", "l.rank", "l.tier", kept.alias("kept"), (F.col("l.total") - kept).alias("dropped"), F.coalesce("r.agreeing", F.lit(0)).alias("agreeing"), F.col("r.only").alias("only"), F.col("r.agreed").alias("agreed"),
+    )
 
 
 def match(old: DataFrame, new: DataFrame, level: str = "strict", refute: bool = True, providers: DataFrame | None = None) -> DataFrame:
@@ -106,7 +179,12 @@ def match(old: DataFrame, new: DataFrame, level: str = "strict", refute: bool =
     A provider row with ``ambiguous`` set (a column it may have) says that the provider itself found several:
     its record is ambiguous, whatever the other tiers hold.
     """
-    met = candidates(old, new, level, refute, providers)
+    cols = ["rank", "tier", "key"]
+    a, b = _sides(old, new, level, providers)
+    # Written, so its size is known: mostly there is no such key, and nothing else is moved for it.
+    hot = store(b.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select(*cols))
+    met = a.join(hot, cols, "left_anti").join(b, cols)
+    met = met.withColumn("refuted", _against(F.col("tier"), refute)).withColumn("agrees", size_agrees(F.col("o_kb"), F.col("n_kb")))
     one = F.struct("n_rid", "n_primary_key")
     by_tier = met.groupBy("o_rid", "rank", "tier").agg(
         F.count_if(~F.col("refuted")).alias("kept"),
@@ -115,6 +193,8 @@ def match(old: DataFrame, new: DataFrame, level: str = "strict", refute: bool =
         F.min(F.when(~F.col("refuted"), one)).alias("only"),
         F.min(F.when(~F.col("refuted") & F.col("agrees"), one)).alias("agreed"),
     )
+    if not hot.isEmpty():
+        by_tier = by_tier.unionByName(_hot_counts(a.join(hot, cols, "left_semi"), b.join(hot, cols, "left_semi"), refute))
     by_tier = by_tier.withColumn("pick", F.when(F.col("kept") == 1, F.col("only")).when((F.col("kept") > 1) & (F.col("agreeing") == 1), F.col("agreed")))
     done = by_tier.groupBy("o_rid").agg(
         F.min(F.when(F.col("pick").isNotNull(), F.struct("rank", "tier", "pick"))).alias("win"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -276,6 +277,33 @@ def rank_backups(spark, d):
     return cascade.rank_backups(new, old.withColumn("source_file", F.concat(F.lit("backup_"), (F.col("part") % 3).cast("string"))), "strict")
 
 
+def _library_sql(level: str) -> str:
+    """The cascade over the library's own rows: the main collection against all others, with blanks, unusable readings and all alphabets."""
+    side = "SELECT entry_id AS rid, primary_key, artist, title, album, audio_id, filesize, playtime_float, file_name AS file, dir_value AS dir FROM tracks WHERE collection_id"
+    sql = _match_sql(level).replace(adapter.NEW, f"old AS ({side} = 'col-main'), new AS ({side} <> 'col-main')")
+    for c in ("filesize", "playtime_float"):
+        digits = "regexp_matches({0}, '^\\s*[+-]?(\\d+(\\.\\d*)?|\\.\\d+)([eE][+-]?\\d+)?\\s*$')".format(c)
+        sql = sql.replace(f"try_cast({c} AS DOUBLE)", f"CASE WHEN {digits} THEN try_cast({c} AS DOUBLE) END")
+    # Case folding knows one sigma.
+    return re.sub(r"lower\((artist|title|album|file)\)", r"replace(lower(\1), 'ς', 'σ')", sql)
+
+
+def _library(spark, d):
+    t = table(spark, d, "tracks").select("collection_id", F.col("entry_id").alias("rid"), "primary_key", "artist", "title", "album", "audio_id", "filesize", "playtime_float", F.col("file_name").alias("file"), F.col("dir_value").alias("dir"))
+    main = F.col("collection_id") == "col-main"
+    return t.where(main), t.where(~main)
+
+
+@query(_library_sql("strict") + _OUT)
+def match_library_strict(spark, d):
+    return cascade.match(*_library(spark, d), "strict")
+
+
+@query(_library_sql("filename") + _OUT)
+def match_library_filename(spark, d):
+    return cascade.match(*_library(spark, d), "filename")
+
+
 # --- rewriting -------------------------------------------------------------------------------------
 
 _RULES = [rewrite.Rule("C:", "/:Music/:PROMO", "E:", "/:Promo"), rewrite.Rule("C:", "/:Music/:", "F:", "/:Lib/:", "F-id"), rewrite.Rule("C:", "/:", "G:", "/:Rest/:")]
