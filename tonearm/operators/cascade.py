@@ -73,9 +73,12 @@ def size_agrees(a: Column, b: Column) -> Column:
     return F.coalesce((top > 0) & (F.try_divide(F.abs(a - b), top) <= model.SIZE_SHARE), F.lit(False))
 
 
-def _sides(old: DataFrame, new: DataFrame, level: str, providers: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Keyed rows of both sides; on the new side the preferred-copy rule is done: where a key has a stale copy and one
-    synced copy, only the synced one stays. It looks at the key alone, so it is settled before any record is joined."""
+def _sides(old: DataFrame, new: DataFrame, level: str, providers: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Keyed rows of both sides, and the keys of very many new records (rank, tier, key).
+
+    On the new side the preferred-copy rule is done: where a key has a stale copy and one synced copy, only the synced
+    one stays. It looks at the key alone, so it is settled before any record is joined.
+    """
     cols = ["rank", "tier", "key"]
     a, b = tier_keys(old, level), tier_keys(new, level)
     if providers is not None:
@@ -88,9 +91,11 @@ def _sides(old: DataFrame, new: DataFrame, level: str, providers: DataFrame | No
         *cols, *[F.col(c).alias("n_" + c) for c in ("rid", "primary_key", "kb", "sec", "from_disk")],
         F.array_contains("parts", "Sync_old").alias("stale"), F.array_contains("parts", "Sync_").alias("synced"),
     )
-    ruled = b.where("stale or synced").groupBy(*cols).agg(F.bool_or("stale").alias("any_stale"), F.count_if("synced").alias("n_synced")).where("any_stale and n_synced = 1")
-    b = b.join(ruled.select(*cols, F.lit(True).alias("ruled")), cols, "left").where("ruled is null or synced").drop("ruled", "stale", "synced")
-    return a, b
+    # Written, so its size is known: mostly few keys are special, and nothing else is moved for them.
+    special = b.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"), (F.bool_or("stale") & (F.count_if("synced") == 1)).alias("ruled")).where((F.col("n") > HOT) | F.col("ruled"))
+    special = store(special.select(*cols, "ruled"))
+    b = b.join(special.where("ruled"), cols, "left").where("ruled is null or synced").drop("ruled", "stale", "synced")
+    return a, b, special.where("not ruled").select(*cols)
 
 
 def _against(tier: Column, refute: bool) -> Column:
@@ -104,7 +109,7 @@ def candidates(old: DataFrame, new: DataFrame, level: str, refute: bool = True,
     For reports that list them: a key that many records of both sides share gives all their pairs; ``match`` does
     without them. ``providers`` (rid, side, tier, key) adds keys of rank 0; side is `old` or `new`. A null key adds nothing.
     """
-    a, b = _sides(old, new, level, providers)
+    a, b, _ = _sides(old, new, level, providers)
     met = a.join(b, ["rank", "tier", "key"])
     return met.withColumn("refuted", _against(F.col("tier"), refute)).withColumn("agrees", size_agrees(F.col("o_kb"), F.col("n_kb")))
 
@@ -180,10 +185,9 @@ def match(old: DataFrame, new: DataFrame, level: str = "strict", refute: bool =
     its record is ambiguous, whatever the other tiers hold.
     """
     cols = ["rank", "tier", "key"]
-    a, b = _sides(old, new, level, providers)
-    # Written, so its size is known: mostly there is no such key, and nothing else is moved for it.
-    hot = store(b.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select(*cols))
-    met = a.join(hot, cols, "left_anti").join(b, cols)
+    a, b, hot = _sides(old, new, level, providers)
+    some = not hot.isEmpty()
+    met = (a.join(hot, cols, "left_anti") if some else a).join(b, cols)
     met = met.withColumn("refuted", _against(F.col("tier"), refute)).withColumn("agrees", size_agrees(F.col("o_kb"), F.col("n_kb")))
     one = F.struct("n_rid", "n_primary_key")
     by_tier = met.groupBy("o_rid", "rank", "tier").agg(
@@ -193,7 +197,7 @@ def match(old: DataFrame, new: DataFrame, level: str = "strict", refute: bool =
         F.min(F.when(~F.col("refuted"), one)).alias("only"),
         F.min(F.when(~F.col("refuted") & F.col("agrees"), one)).alias("agreed"),
     )
-    if not hot.isEmpty():
+    if some:
         by_tier = by_tier.unionByName(_hot_counts(a.join(hot, cols, "left_semi"), b.join(hot, cols, "left_semi"), refute))
     by_tier = by_tier.withColumn("pick", F.when(F.col("kept") == 1, F.col("only")).when((F.col("kept") > 1) & (F.col("agreeing") == 1), F.col("agreed")))
     done = by_tier.groupBy("o_rid").agg(
