@@ -38,3 +38,15 @@ def test_dangling_policies(spark):
     assert reports.dangling(e, v, "fail").count() == 2
     with pytest.raises(ValueError):
         reports.dangling(e, v, "other")
+
+
+def test_stored_tables_can_be_cleared(spark):
+    import os
+
+    from tonearm import session
+
+    kept = session.store(spark.range(5).toDF("x"))
+    path = session._STORED[-1]
+    assert rows(kept) == [(i,) for i in range(5)]
+    had = len(session._STORED)
+    assert session.clear(spark) <= had and not session._STORED and not os.path.exists(path.removeprefix("file:"))

@@ -58,6 +58,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Tables written by ``store`` in this process.
+_STORED: list[str] = []
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete the tables that ``store`` wrote; returns how many. Frames that read them must be done with."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    gone = 0
+    while _STORED:
+        path = jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
+
+
 def store(df: DataFrame) -> DataFrame:
     """Write the rows as a compressed table in the shared checkpoint folder and go on from it.
 
@@ -65,5 +79,6 @@ def store(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    _STORED.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
