@@ -50,3 +50,26 @@ def test_stored_tables_can_be_cleared(spark):
     assert rows(kept) == [(i,) for i in range(5)]
     had = len(session._STORED)
     assert session.clear(spark) <= had and not session._STORED and not os.path.exists(path.removeprefix("file:"))
+
+
+def test_names_of_tracks(spark):
+    df = spark.createDataFrame([("A", " T ", "k"), (None, "T", "k"), ("A", "", "k"), (" ", None, "k")], "a string, t string, k string")
+    assert [r[0] for r in df.select(reports.track_name(F.col("a"), F.col("t"), F.col("k"))).collect()] == ["T - A", "T", "A", "k"]
+
+
+def test_run_report(spark):
+    stats = spark.createDataFrame([("refilled_playlists", 2), ("playlist_entries_added", 9), ("unfilled_playlists", 0), ("entries_on_duplicated_tracks", 1), ("other", 5)], "counter string, value long")
+    gate = spark.createDataFrame([(0, 3)], "outstanding long, decided long")
+    assert [(r["item"], r["value"]) for r in reports.run_report(stats, gate).orderBy("ord").collect()] == [("refilled_playlists", 2), ("playlist_entries_added", 9), ("decided", 3), ("unfilled_playlists", 0), ("entries_on_duplicated_tracks", 1)]
+    assert reports.run_report(stats.limit(0), gate).count() == 4
+
+
+def test_isolated_playlist_and_split_names(spark):
+    n = spark.createDataFrame([(1, "PLAYLIST", "P"), (2, "PLAYLIST", "P"), (3, "FOLDER", "F"), (4, "PLAYLIST", "E")], "node_id long, node_type string, node_name string")
+    e = spark.createDataFrame([(1, "x"), (2, "a"), (2, "b")], "node_id long, key string")
+    valid = spark.createDataFrame([("a",), ("b",)], "key string")
+    assert rows(reports.isolated(n, e, valid, "P").select("key")) == [("a",), ("b",)]
+    with pytest.raises(ValueError):
+        reports.isolated(n, e, valid.limit(0), "P")
+    assert playlists.split_names(n, ["P", "F", "Z", "Z"]) == ["F", "Z"] and playlists.split_names(n, []) == []
+    assert rows(playlists.empty_lists(playlists.split(n, e, valid, ["P", "E"]))) == [("E",)]

@@ -173,3 +173,15 @@ def split(nodes: DataFrame, entries: DataFrame, valid: DataFrame, names: list[st
     own = entries.select("node_id", "key").join(keys, "key", "left")
     n = own.groupBy("node_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.coalesce("ok", F.lit(False))).alias("kept"))
     return chosen.join(n, "node_id", "left").select(F.col("node_name").alias("name"), F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("total", F.lit(0)).alias("total"))
+
+
+def split_names(nodes: DataFrame, names: list[str]) -> list[str]:
+    """The asked names that no playlist has, in the order asked; each once."""
+    wanted = list(dict.fromkeys(names))
+    have = {r[0] for r in nodes.where((F.col("node_type") == "PLAYLIST") & F.col("node_name").isin(wanted)).select("node_name").distinct().collect()} if wanted else set()
+    return [n for n in wanted if n not in have]
+
+
+def empty_lists(split_rows: DataFrame) -> DataFrame:
+    """(name) of the split playlists that keep no entry."""
+    return split_rows.where("kept = 0").select("name")

@@ -119,3 +119,33 @@ def outlier_lines(readings: DataFrame) -> DataFrame:
     a, b = numbers.number(F.col("kept")), numbers.number(F.col("other"))
     low, high = F.when(a <= b, F.col("kept")).otherwise(F.col("other")), F.when(a <= b, F.col("other")).otherwise(F.col("kept"))
     return readings.select("group_id", F.format_string("%s %s..%s gap %.4f kept %s", "attr", low, high, "gap", "kept").alias("line"))
+
+
+def track_name(artist: Column, title: Column, identity_key: Column) -> Column:
+    """`title - artist`, the one of them that is there, or the identity key."""
+    a, t = F.trim(F.coalesce(artist, F.lit(""))), F.trim(F.coalesce(title, F.lit("")))
+    return F.when((a != "") & (t != ""), F.concat(t, F.lit(" - "), a)).when(t != "", t).when(a != "", a).otherwise(identity_key)
+
+
+def run_report(stats: DataFrame, decided: DataFrame) -> DataFrame:
+    """(ord, item, value) of a rebuilt merge: playlists filled, entries added, decisions and playlists left empty, then
+    entries on duplicated tracks and dropped references where there are any.
+
+    ``stats`` has (counter, value), ``decided`` is a gate row (outstanding, decided). A counter that is missing counts as 0.
+    """
+    always = ["refilled_playlists", "playlist_entries_added", "decided", "unfilled_playlists"]
+    rest = ["entries_on_duplicated_tracks", "dropped_references"]
+    told = stats.select("counter", F.col("value").cast("long").alias("value")).unionByName(decided.select(F.lit("decided").alias("counter"), F.col("decided").cast("long").alias("value")))
+    one = told.agg(*[F.coalesce(F.sum(F.when(F.col("counter") == c, F.col("value"))), F.lit(0)).alias(c) for c in (*always, *rest)])
+    rows = one.select(F.inline(F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(c).alias("item"), F.col(c).alias("value")) for i, c in enumerate((*always, *rest), 1)])))
+    return rows.where(F.col("item").isin(always) | (F.col("value") > 0))
+
+
+def isolated(nodes: DataFrame, entries: DataFrame, valid: DataFrame, name: str) -> DataFrame:
+    """Entries of the playlist ``name`` alone, for an output of its own; any reference to no entry stops it."""
+    node = nodes.where((F.col("node_type") == "PLAYLIST") & (F.col("node_name") == name)).agg(F.max("node_id").alias("node_id"))
+    own = entries.join(node, "node_id", "left_semi")
+    lost = dangling(own, valid, "fail").limit(1).collect()
+    if lost:
+        raise ValueError(f"playlist {name!r} refers to {lost[0]['key']!r}, which is no entry")
+    return own

@@ -213,12 +213,15 @@ def match_stats_by_tier(spark, d):
 
 @query(
     _match_sql("strict")
-    + "SELECT 'entries_old' AS counter, count(*) AS value FROM old UNION ALL SELECT 'entries_new', count(*) FROM new UNION ALL SELECT 'primarykey_updates_available', count(DISTINCT primary_key) FILTER (outcome = 'matched') FROM won"
+    + "SELECT 'entries_old' AS counter, count(*) AS value FROM old UNION ALL SELECT 'entries_new', count(*) FROM new UNION ALL SELECT 'primarykey_updates_available', count(DISTINCT primary_key) FILTER (outcome = 'matched') FROM won UNION ALL "
+    + _COUNTERS
 )
 def preview_compare(spark, d):
     old, new = _pair(spark, d)
     count = lambda df, n: df.agg(F.count(F.lit(1)).alias("value")).select(F.lit(n).alias("counter"), "value")
-    return count(old, "entries_old").unionByName(count(new, "entries_new")).unionByName(count(rewrite.compare_mapping(cascade.match(old, new, "strict")), "primarykey_updates_available"))
+    won = cut(cascade.match(old, new, "strict"))
+    counts = count(old, "entries_old").unionByName(count(new, "entries_new")).unionByName(count(rewrite.compare_mapping(won), "primarykey_updates_available"))
+    return counts.unionByName(cascade.match_stats(won))
 
 
 @query(
