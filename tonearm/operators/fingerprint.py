@@ -41,15 +41,16 @@ def _compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out) if out else pd.DataFrame({"left_id": [], "right_id": [], "similarity": []})
 
 
-def similar(left: DataFrame, right: DataFrame) -> DataFrame:
+def similar(left: DataFrame, right: DataFrame, ahead: bool = False) -> DataFrame:
     """(left_id, right_id, similarity, verdict) of pairs (id, sec, fp) within a second and at least near.
 
     Pairs whose fingerprints cannot be compared (null, of no or other length) have no
-    similarity and fall away. Each pair of blocks of a band is one matrix product.
+    similarity and fall away. Each pair of blocks of a band is one matrix product. With ``ahead`` a band of the left
+    side meets itself and the next one only: of a table with itself that holds every pair in one direction at least.
     """
     band = F.floor(F.col("sec") / SECONDS).cast("long")
     whole = lambda df: df.select(F.col("id").alias("id"), F.col("sec").cast("double").alias("sec"), F.col("fp").cast("array<double>").alias("fp")).where("id is not null and sec is not null and fp is not null")
-    l = whole(left).select("id", "sec", "fp", F.explode(F.array(band - 1, band, band + 1)).alias("band"))
+    l = whole(left).select("id", "sec", "fp", F.explode(F.array(*([band, band + 1] if ahead else [band - 1, band, band + 1]))).alias("band"))
     r = whole(right).withColumn("band", band)
     key = ["band", "lb", "rb"]
     met = (
@@ -60,7 +61,8 @@ def similar(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def clusters(records: DataFrame) -> DataFrame:
     """(id, group_id) of records linked by near-identical fingerprints, directly or through others."""
-    edges = similar(records, records).where("verdict = 'match' and left_id < right_id").select(F.col("left_id").alias("src"), F.col("right_id").alias("dst"))
+    met = similar(records, records, ahead=True).where("verdict = 'match' and left_id <> right_id")
+    edges = met.select(F.least("left_id", "right_id").alias("src"), F.greatest("left_id", "right_id").alias("dst")).distinct()
     return components(edges)
 
 
