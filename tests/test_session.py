@@ -16,7 +16,7 @@ def test_a_stored_table_is_not_sent_out_by_the_size_of_its_files(spark):
     assert "BroadcastHashJoin" in plan(spark.range(5).join(few, "id", "left"))
 
 
-def test_keyed_rows_are_not_sent_out(spark, tmp_path):
+def test_keyed_rows_and_names_are_not_sent_out(spark, tmp_path):
     """Small files on either side: the rows for each tier are many times what the files take."""
     cols = "rid long, primary_key string, audio_id string, artist string, title string, album string, filesize string, playtime_float string, file string, dir string"
     sides = []
@@ -26,4 +26,5 @@ def test_keyed_rows_are_not_sent_out(spark, tmp_path):
     reviewed = cascade.review_rows(*sides, "filename")
     for df in (cascade.match(*sides, "filename"), cascade.candidates(*sides, "loose"), reviewed):
         assert "SortMergeJoin [rank#" in plan(df)
+    assert "SortMergeJoin [rid#" in plan(reviewed) and "SortMergeJoin [new_rid#" in plan(reviewed)
     assert [tuple(r) for r in reviewed.groupBy("status", "confidence").count().collect()] == [("matched", "Strong", 50)]
