@@ -174,3 +174,19 @@ def test_false_collisions_are_pairs(spark):
 
 def test_measured_thresholds():
     assert measures.groups_by_audio_id(0.99, 0.995, 0) and not measures.groups_across_formats(0.99, 0.99, 0.9, 0)
+
+
+def test_coverage_compares_sets_of_words_once(spark):
+    """Repeats of a set of words, ties among them and words in another order, against all pairs; the pairs of words grow with the sets only."""
+    names = ["red bolt", "bolt red", "blue bolt", "red", "The Red", "red blue rod", "", None, "mix"]
+    offers = [(i, names[i % len(names)]) for i in range(60)]
+    asked = [(i, ["red bolt", "Bolt, red rod", "rod", "nothing", "", None, "blue red"][i % 7]) for i in range(14)]
+    tok = lambda s: {w for w in (s or "").lower().replace(",", "").split() if w not in text.STOP_WORDS}
+    want = []
+    for line, t in asked:
+        s = sorted((-round(len(tok(t) & tok(n)) / len(tok(t)), 6), c) for c, n in offers if tok(t) & tok(n))[:3]
+        want += [(line, k + 1, c, -v) for k, (v, c) in enumerate(s)]
+    o = spark.createDataFrame(offers, "cand long, c_title string").withColumn("c_artist", F.lit(""))
+    r = discover.rank_by_coverage(spark.createDataFrame(asked, "line long, title string").withColumn("artist", F.lit("")), o)
+    assert rows(r) == sorted(want, key=repr)
+    assert "Window [row_number() windowspecdefinition(held" in r._jdf.queryExecution().optimizedPlan().toString()
