@@ -190,3 +190,42 @@ def test_coverage_compares_sets_of_words_once(spark):
     r = discover.rank_by_coverage(spark.createDataFrame(asked, "line long, title string").withColumn("artist", F.lit("")), o)
     assert rows(r) == sorted(want, key=repr)
     assert "Window [row_number() windowspecdefinition(held" in r._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_discovery_in_cells_skips_what_cannot_win(spark, monkeypatch):
+    """Random texts against the ratios of all pairs: the same best three of each line with ties, by a small part of the ratios, in any grid of cells."""
+    import difflib
+
+    import pandas as pd
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdeilnor") for _ in range(rng.randint(2, 7)))
+    title_words = [word() for _ in range(12)]
+    title = lambda: " ".join(rng.sample(title_words, 2) + [word()])
+    offers = [(i, word(), title()) for i in range(150)]
+    offers += [(1000 + i, *offers[i][1:]) for i in range(20)]
+    asked = [(i, offers[i][1], offers[i][2]) for i in range(0, 30)] + [(100, "x", "unheard"), (101, "", title_words[0])]
+    cov = lambda a, b: len(set(a.split()) & set(b.split())) / max(1, len(set(a.split())))
+    best = lambda a, b: max(difflib.SequenceMatcher(None, a, b).ratio(), cov(a, b))
+    full, pairs = {}, 0
+    for line, a, t in asked:
+        s = [(c, round(0.3 * best(a, x) + 0.55 * best(t, y) + 0.15 * best(f"{a} {t}".strip(), f"{x} {y}"), 6)) for c, x, y in offers if cov(t, y)]
+        pairs += len(s)
+        full[line] = sorted((-v, c) for c, v in s if v >= 0.5)[:3]
+    frame = lambda rows_, extra: pd.DataFrame([(i, a, a, t, t, f"{a} {t}".strip(), f"{a} {t}".strip(), *extra(i)) for i, a, t in rows_], columns=["id", *[f"{f}_{p}" for f in ("artist", "title", "full") for p in ("plain", "words")], *(["c_path"] if extra(0) else [])])
+    calls = []
+    real = difflib.SequenceMatcher.ratio
+    monkeypatch.setattr(difflib.SequenceMatcher, "ratio", lambda self: calls.append(1) or real(self))
+    cell = discover._cell(frame(asked, lambda i: ()).rename(columns={"id": "line"}), frame(offers, lambda i: ("",)).rename(columns={"id": "cand"}), 3, 0.5)
+    monkeypatch.undo()
+    assert len(calls) < 1.5 * pairs
+    cell["score"] = [round(0.3 * a + 0.55 * t + 0.15 * f, 6) for a, t, f in zip(cell.artist_score, cell.title_score, cell.full_score, strict=True)]
+    for line, *_ in asked:
+        x = cell[cell.line == line]
+        assert sorted((-v, c) for v, c in zip(x.score, x.cand, strict=True) if v >= 0.5)[:3] == full[line]
+    want = sorted([(line, k + 1, c, -v) for line, s in full.items() for k, (v, c) in enumerate(s)] + [(line, 1, None, 0.0) for line, s in full.items() if not s], key=repr)
+    o, r = spark.createDataFrame(offers, "cand long, c_artist string, c_title string"), spark.createDataFrame(asked, "line long, artist string, title string")
+    for offers_, requests_ in ((10_000, 20_000), (40, 10)):
+        monkeypatch.setattr(discover, "CELL_OFFERS", offers_)
+        monkeypatch.setattr(discover, "CELL_REQUESTS", requests_)
+        assert rows(discover.rank(r, o).select("line", "rank", "cand", "score")) == want
