@@ -28,3 +28,15 @@ def test_keyed_rows_and_names_are_not_sent_out(spark, tmp_path):
         assert "SortMergeJoin [rank#" in plan(df)
     assert "SortMergeJoin [rid#" in plan(reviewed) and "SortMergeJoin [new_rid#" in plan(reviewed)
     assert [tuple(r) for r in reviewed.groupBy("status", "confidence").count().collect()] == [("matched", "Strong", 50)]
+
+
+def test_what_is_little_may_be_sent_out_under_a_low_threshold(spark):
+    """Under 8 MB as rows the planner decides by the files, above that it does not, whatever the session's threshold."""
+    had = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")
+    try:
+        few, many = (session.store(spark.range(n).withColumn("text", F.lit("the same text in every row"))) for n in (20_000, 150_000))
+        assert "BroadcastHashJoin" in plan(spark.range(5).join(few, "id", "left"))
+        assert "BroadcastHashJoin" not in plan(spark.range(5).join(many.where("text is not null").select("id").distinct(), "id", "left"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", had)
